@@ -6,10 +6,11 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from emberkey.operators.dedup import Cols, Duration
 from emberkey.operators.ordered import CHUNK, Lane, as_list, over_lanes
@@ -55,25 +56,6 @@ class State:
         return json.dumps(self.entries)
 
 
-def _plain(value: Any) -> Any:
-    missing = value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value)
-    return None if missing else value
-
-
-def emit_rows(
-    pdf: pd.DataFrame, key: tuple, ts: str, fn: Callback, state: State, names: list[str]
-) -> pd.DataFrame:
-    """Feed the rows of `pdf`, already in processing order, to `fn`."""
-    columns = list(pdf.columns)
-    out: list[tuple] = []
-    for values in pdf.itertuples(index=False, name=None):
-        row = {c: _plain(v) for c, v in zip(columns, values)}
-        when = int(row[ts])
-        for hit in fn(row, key, when, state.at(when)) or ():
-            out.append(tuple(hit.get(n) for n in names))
-    return pd.DataFrame(out, columns=names, dtype=object)
-
-
 def keyed_process(
     df: DataFrame,
     key: Cols,
@@ -86,16 +68,15 @@ def keyed_process(
 ) -> DataFrame:
     """Run `fn(row, key, timestamp, state)` over each key's rows in `order`; emit what it yields.
 
-    Rows come to the task sorted and in Arrow batches, so a key is never held as a whole. A callback
+    Rows stream through the task sorted, in Arrow batches, so a key is never held as a whole. A callback
     may depend on everything before it, so a key is one sequence of work; give `max_ttl`, the longest
     ttl `fn` ever sets (and no entry without one), to let long keys be cut wherever the rows pause
     for that long, since no state outlives such a pause.
     """
     keys, order = as_list(key), as_list(order)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    names = schema.fieldNames()
-    columns = df.columns
-    scope = keys
+    target = to_arrow_schema(schema)
+    scope, extra = keys, []
     if max_ttl is not None:
         gap = millis(max_ttl)
 
@@ -110,17 +91,22 @@ def keyed_process(
 
         df = over_lanes(df, keys, order, cut, hot_rows)
         # A piece is named by the chunk it starts in; several in one group are still apart in time.
-        scope = [*keys, "__piece"]
-
-    def run(group: tuple[Any, ...], chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = State()
-        own = tuple(group[: len(keys)])
-        for pdf in chunks:
-            yield emit_rows(pdf[columns], own, ts, fn, state, names)
+        scope, extra = [*keys, "__piece"], ["__piece"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, State()
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                group = tuple(row[c] for c in scope)
+                if group != current:
+                    current, state = group, State()
+                for c in extra:
+                    del row[c]
+                when = row[ts]
+                out.extend(fn(row, group[: len(keys)], when, state.at(when)) or ())
+            yield pa.RecordBatch.from_pylist(out, schema=target)
 
     return (
-        df.repartition(*scope)
-        .sortWithinPartitions(*scope, *order)
-        .groupBy(*scope)
-        .applyInPandas(run, schema)
+        df.repartition(*scope).sortWithinPartitions(*scope, *order).mapInArrow(run, schema)
     )

@@ -32,7 +32,7 @@ KEY = "'order-' || lpad(user_id::VARCHAR, greatest(7, length(user_id::VARCHAR)):
 CHANGELOG = f"""(SELECT (user_id % 4)::INTEGER AS partition, event_id AS "offset", {KEY} AS key,
   CASE WHEN event_type <> 'error' THEN event_type END AS status,
   event_type NOT IN ('view', 'error') AS stamped,
-  CASE WHEN event_type IN ('click', 'purchase') THEN timestamp + {DAY} END AS expires_at_ms,
+  CASE WHEN event_type IN ('click', 'purchase') THEN timestamp + {6 * HOUR} END AS expires_at_ms,
   timestamp AS ts_ms FROM {E})"""
 
 COMPACTED = f"""(SELECT partition, key, status, stamped, expires_at_ms FROM (
@@ -41,7 +41,7 @@ COMPACTED = f"""(SELECT partition, key, status, stamped, expires_at_ms FROM (
 
 JAN_20 = 1705708800000
 JAN_25 = 1706140800000
-JAN_30 = 1706572800000
+JAN_31 = 1706659200000
 
 # The store before the writes, the writes, and the state after an automatic migration.
 MIGRATION = f"""WITH ev AS (SELECT (user_id % 4)::INTEGER AS partition, event_id AS o, {KEY} AS key,

@@ -12,7 +12,7 @@ from emberkey.functions import markers as M
 from emberkey.operators import counters, dedup, enrich, lake, process, progress, state_table
 from emberkey.plans import oracle_sql as O
 from emberkey.plans import tables as T
-from emberkey.plans.tables import DAY, HOUR, JAN_25, JAN_30, events, event_stream
+from emberkey.plans.tables import DAY, HOUR, JAN_25, JAN_31, events, event_stream
 from emberkey.session import fresh_path
 from emberkey.sources import topics
 from emberkey.streaming import callbacks, processor, runner
@@ -351,13 +351,13 @@ def tbl1(spark, sf):
 
 @query(
     "tbl2_restore_state",
-    f"SELECT * FROM {O.COMPACTED} WHERE expires_at_ms IS NULL OR expires_at_ms > {O.JAN_30}",
+    f"SELECT * FROM {O.COMPACTED} WHERE expires_at_ms IS NULL OR expires_at_ms > {O.JAN_31}",
 )
 def tbl2(spark, sf):
-    return _flat(state_table.restore_state(T.changelog(spark, sf), JAN_30))
+    return _flat(state_table.restore_state(T.changelog(spark, sf), JAN_31))
 
 
-SQL_DUE = f"stamped AND expires_at_ms <= {O.JAN_30}"
+SQL_DUE = f"stamped AND expires_at_ms <= {O.JAN_31}"
 
 
 @query(
@@ -366,7 +366,7 @@ SQL_DUE = f"stamped AND expires_at_ms <= {O.JAN_30}"
 )
 def tbl3(spark, sf):
     state = state_table.compact_changelog(T.changelog(spark, sf))
-    live, evicted = state_table.expire_state(state, JAN_30)
+    live, evicted = state_table.expire_state(state, JAN_31)
     return (
         _flat(live).withColumn("evicted", F.lit(False))
         .unionByName(_flat(evicted).withColumn("evicted", F.lit(True)))
@@ -380,7 +380,7 @@ def tbl3(spark, sf):
 )
 def tbl3_budget(spark, sf):
     state = state_table.compact_changelog(T.changelog(spark, sf))
-    return _flat(state_table.expire_state(state, JAN_30, limit=10)[1])
+    return _flat(state_table.expire_state(state, JAN_31, limit=10)[1])
 
 
 @query(
@@ -390,7 +390,7 @@ def tbl3_budget(spark, sf):
 )
 def tbl4(spark, sf):
     log = T.changelog(spark, sf)
-    _, evicted = state_table.expire_state(state_table.compact_changelog(log), JAN_30)
+    _, evicted = state_table.expire_state(state_table.compact_changelog(log), JAN_31)
     gone = state_table.tombstones(evicted, log)
     return gone.filter(F.col("value").isNull()).select("partition", "offset", "key")
 
@@ -401,7 +401,7 @@ def tbl4(spark, sf):
 )
 def tbl4_after(spark, sf):
     log = T.changelog(spark, sf)
-    _, evicted = state_table.expire_state(state_table.compact_changelog(log), JAN_30)
+    _, evicted = state_table.expire_state(state_table.compact_changelog(log), JAN_31)
     swept = log.unionByName(state_table.tombstones(evicted, log))
     return _flat(state_table.compact_changelog(swept))
 

@@ -13,7 +13,7 @@ HOUR = HOUR_MS
 DAY = 24 * HOUR
 JAN_20 = 1705708800000  # 2024-01-20 00:00 UTC
 JAN_25 = 1706140800000
-JAN_30 = 1706572800000
+JAN_31 = 1706659200000
 
 EVENTS_SCHEMA = T.StructType(
     [
@@ -65,7 +65,7 @@ def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind != "error", F.struct(kind.alias("status"), F.repeat(F.lit("x"), 8).alias("pad")))
         .alias("value"),
         stamped.alias("stamped"),
-        F.when(stamped & (kind != "signup"), F.col("timestamp") + DAY).alias("expires_at_ms"),
+        F.when(stamped & (kind != "signup"), F.col("timestamp") + 6 * HOUR).alias("expires_at_ms"),
         F.col("timestamp").alias("ts_ms"),
     )
 

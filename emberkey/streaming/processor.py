@@ -13,13 +13,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberkey.operators.dedup import Cols, Duration
 from emberkey.operators.ordered import as_list
-from emberkey.operators.process import Callback, State, emit_rows
+from emberkey.operators.process import Callback, State
 from emberkey.session import ROCKSDB_PROVIDER, millis
 
 # Entries as JSON with their deadlines, and the key's event-time clock.
 STATE_SCHEMA = "entries string, clock_ms bigint"
 
 
+def _plain(value: Any) -> Any:
+    missing = value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value)
+    return None if missing else value
+
+
 class CallbackProcessor(StatefulProcessor):
     def __init__(
         self, fn: Callback, columns: list[str], ts: str, order: list[str], names: list[str],
@@ -36,23 +41,35 @@ class CallbackProcessor(StatefulProcessor):
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         # One key's rows of one micro-batch; their order after the shuffle is not promised.
-        pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        saved = self.store.get() if self.store.exists() else (None, None)
-        state = State(*saved)
-        out = emit_rows(pdf[self.columns], tuple(key), self.ts, self.fn, state, self.names)
+        batch: list[dict] = []
+        for pdf in rows:
+            cells = zip(*[pdf[c].tolist() for c in self.columns])
+            batch += [dict(zip(self.columns, map(_plain, row))) for row in cells]
+        batch.sort(key=lambda row: [row[c] for c in self.order])
+        state = State(*(self.store.get() or (None, None)))
+        out: list[dict] = []
+        for row in batch:
+            when = int(row[self.ts])
+            out.extend(self.fn(row, tuple(key), when, state.at(when)) or ())
         self.store.update((state.dumps(), state.clock))
         if self.evict:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if (deadline := state.last_deadline()) is not None:
                 self.handle.registerTimer(deadline)
-        yield out
+        if out:
+            yield self._frame(out)
+
+    def _frame(self, rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(
+            {n: pd.Series([r.get(n) for r in rows], dtype=object) for n in self.names}
+        )
 
     def handleExpiredTimer(
         self, key: Any, timerValues: Any, expiredTimerInfo: Any
     ) -> Iterator[pd.DataFrame]:
         self.store.clear()  # the timer stands at the last deadline, so nothing live is lost
-        yield pd.DataFrame([], columns=self.names, dtype=object)
+        yield self._frame([])
 
     def close(self) -> None:
         pass
