@@ -308,6 +308,19 @@ def stats_candidates(schema: T.StructType, layout: Layout) -> list[str]:
     ]
 
 
+def _as_text(bound: Column, kind: T.DataType) -> Column:
+    """Bounds as text; moments as epoch microseconds, whatever the session's time zone."""
+    if isinstance(kind, T.TimestampType):
+        bound = F.unix_micros(bound)
+    return bound.cast("string")
+
+
+def _from_text(bound: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(bound.cast("bigint"))
+    return bound.cast(kind)
+
+
 def file_stats(rows: DataFrame, layout: Layout, columns: list[str] | None = None) -> DataFrame:
     """Zone maps: one row per file and column. Bounds are exact, as text of the column's own type;
     `value_count` counts all values, nulls included."""
@@ -334,8 +347,8 @@ def file_stats(rows: DataFrame, layout: Layout, columns: list[str] | None = None
             F.lit(
                 "numeric" if isinstance(rows.schema[c].dataType, T.NumericType) else "timestamp"
             ).alias("type"),
-            F.col(f"__min{i}").cast("string").alias("min"),
-            F.col(f"__max{i}").cast("string").alias("max"),
+            _as_text(F.col(f"__min{i}"), rows.schema[c].dataType).alias("min"),
+            _as_text(F.col(f"__max{i}"), rows.schema[c].dataType).alias("max"),
             F.col(f"__null{i}").alias("null_count"),
             F.col("__n").alias("value_count"),
         )
@@ -385,9 +398,9 @@ def prune_files(
         stats = F.col("column_stats")[column]
         keep = stats["min"].isNotNull()
         if low is not None:
-            keep &= stats["max"].cast(kind) >= F.lit(low).cast(kind)
+            keep &= _from_text(stats["max"], kind) >= F.lit(low).cast(kind)
         if high is not None:
-            keep &= stats["min"].cast(kind) <= F.lit(high).cast(kind)
+            keep &= _from_text(stats["min"], kind) <= F.lit(high).cast(kind)
         entries = entries.filter(stats.isNull() | keep)
     return entries
 
