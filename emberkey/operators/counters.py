@@ -5,14 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.operators.dedup import (
-    Cols,
-    Duration,
-    dedup_on_change_ttl,
-    processing_order,
-    with_clock,
-)
-from emberkey.operators.ordered import Lane, over_lanes
+from emberkey.operators.dedup import Cols, Duration, on_emit, processing_order, with_clock
+from emberkey.operators.ordered import Body, Lane, over_lanes
 from emberkey.session import millis
 
 
@@ -36,8 +30,11 @@ def counter_ttl(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Every row with a count that each row prolongs by `ttl`; a gap of `ttl` restarts it at 1."""
-    ttl_ms = millis(ttl)
+    body = _count_body(ts, millis(ttl), name, order_by)
+    return over_lanes(df, key, processing_order(ts, tiebreak, order_by), body, hot_rows)
+
 
+def _count_body(ts: str, ttl_ms: int, name: str, order_by: Cols | None = None) -> Body:
     def body(rows: DataFrame, lane: Lane) -> DataFrame:
         rows = with_clock(rows, lane, ts, order_by)
         rows = lane.previous(rows, "__prev", {"own": F.col(ts)})
@@ -47,7 +44,7 @@ def counter_ttl(
         count = (F.col("__n") - F.col("__from") + 1).cast("bigint")
         return rows.withColumn(name, count).drop("__prev", "__n", "__from", "__clock")
 
-    return over_lanes(df, key, processing_order(ts, tiebreak, order_by), body, hot_rows)
+    return body
 
 
 def dedup_then_count(
@@ -61,5 +58,9 @@ def dedup_then_count(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Change-only rows, each with a counter that only those rows feed, under one ttl."""
-    emitted = dedup_on_change_ttl(df, key, value, ts, ttl, tiebreak, hot_rows=hot_rows)
-    return counter_ttl(emitted, key, ts, ttl, tiebreak, name=name, hot_rows=hot_rows)
+    changed, counted = on_emit(value, ts, millis(ttl)), _count_body(ts, millis(ttl), name)
+
+    def body(rows: DataFrame, lane: Lane) -> DataFrame:
+        return counted(changed(rows, lane), lane)
+
+    return over_lanes(df, key, processing_order(ts, tiebreak, None), body, hot_rows)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberkey.functions.keys import split_key
 from emberkey.operators.carry import carried_deadlines, null_safe_join
-from emberkey.operators.ordered import CHUNK, Lane, as_list, over_lanes
+from emberkey.operators.ordered import CHUNK, Body, Lane, as_list, over_lanes
 from emberkey.session import millis
 
 Cols = str | Sequence[str]
@@ -61,14 +61,20 @@ def dedup_on_change_ttl(
     with ``"on_seen"`` every row does. An entry is expired from its deadline on (`clock >= deadline`).
     """
     ttl_ms = millis(ttl)
-    order = processing_order(ts, tiebreak, order_by)
     if refresh == "on_seen":
-        return _dedup_on_seen(df, key, value, ts, ttl_ms, order, order_by, hot_rows)
-    if refresh != "on_emit":
+        body = _on_seen(value, ts, ttl_ms, order_by)
+    elif refresh == "on_emit":
+        body = on_emit(value, ts, ttl_ms, order_by)
+    else:
         raise ValueError(f"refresh must be 'on_emit' or 'on_seen', got {refresh!r}")
-    columns = df.columns
+    return over_lanes(df, key, processing_order(ts, tiebreak, order_by), body, hot_rows)
+
+
+def on_emit(value: str, ts: str, ttl_ms: int, order_by: Cols | None = None) -> Body:
+    """The filter of `dedup_on_change_ttl` for one lane, to be chained with others."""
 
     def body(rows: DataFrame, lane: Lane) -> DataFrame:
+        columns = rows.columns
         marked = _mark_segments(rows, lane, value, ts, ttl_ms, order_by)
         starts = marked.filter("__start")
         # Inside a segment nothing can emit before the first deadline; the rest is folded.
@@ -78,20 +84,19 @@ def dedup_on_change_ttl(
             & (F.col(value).isNull() | (F.col("__clock") >= F.col("__seg.own") + ttl_ms))
         )
         folded = _fold_segments(later, lane, value, ts, ttl_ms, columns, order_by is None)
-        kept = columns + ([CHUNK] if lane.chunked else [])
-        return starts.select(*kept).unionByName(folded.select(*kept))
+        return starts.select(*columns).unionByName(folded)
 
-    return over_lanes(df, key, order, body, hot_rows)
+    return body
 
 
-def _dedup_on_seen(df, key, value, ts, ttl_ms, order, order_by, hot_rows) -> DataFrame:
+def _on_seen(value: str, ts: str, ttl_ms: int, order_by: Cols | None) -> Body:
     def body(rows: DataFrame, lane: Lane) -> DataFrame:
         rows = with_clock(rows, lane, ts, order_by)
         rows = lane.previous(rows, "__prev", {"v": F.col(value), "own": F.col(ts)})
         live = F.when(F.col("__clock") < F.col("__prev.own") + ttl_ms, F.col("__prev.v"))
         return rows.filter(~live.eqNullSafe(F.col(value))).drop("__prev", "__clock")
 
-    return over_lanes(df, key, order, body, hot_rows)
+    return body
 
 
 def _mark_segments(
@@ -198,11 +203,10 @@ def _fold_segments(
     step = F.arrays_zip(
         F.col("__steps").alias("items"), F.slice(firsts, 1, F.size("__steps")).alias("d")
     )
-    chunk = [CHUNK] if lane.chunked else []
     return (
-        groups.select(*chunk, F.explode(step).alias("__s"))
-        .select(*chunk, F.explode(emitted(F.col("__s.items"), F.col("__s.d"))).alias("__hit"))
-        .select(*chunk, "__hit.row.*")
+        groups.select(F.explode(step).alias("__s"))
+        .select(F.explode(emitted(F.col("__s.items"), F.col("__s.d"))).alias("__hit"))
+        .select("__hit.row.*")
     )
 
 
@@ -243,17 +247,15 @@ def dedup_multi_entry(
     Both are written when a row is emitted. `previous_seen_at` is what `last_seen_at` held, as seen
     by the emitted row: null when it was never set or has expired.
     """
-    emitted = dedup_on_change_ttl(
-        df, key, value, ts, ttls["last_status"], tiebreak, hot_rows=hot_rows
-    )
+    changed = on_emit(value, ts, millis(ttls["last_status"]))
     seen_ms = millis(ttls["last_seen_at"])
 
     def body(rows: DataFrame, lane: Lane) -> DataFrame:
-        rows = lane.previous(rows, "__prev", {"own": F.col(ts)})
+        rows = lane.previous(changed(rows, lane), "__prev", {"own": F.col(ts)})
         live = F.col(ts) < F.col("__prev.own") + seen_ms
         return rows.withColumn("previous_seen_at", F.when(live, F.col("__prev.own"))).drop("__prev")
 
-    return over_lanes(emitted, key, processing_order(ts, tiebreak, None), body, hot_rows)
+    return over_lanes(df, key, processing_order(ts, tiebreak, None), body, hot_rows)
 
 
 def toggle_by_key(

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberkey.functions.keys import padding
-from emberkey.operators.dedup import Cols, Duration, first_seen_ttl
-from emberkey.operators.ordered import Lane, as_list, over_lanes
+from emberkey.operators.dedup import Cols, Duration, on_emit
+from emberkey.operators.ordered import CHUNK, Lane, as_list, over_lanes
+from emberkey.session import millis
 
 
 def latest_before(
@@ -65,23 +66,45 @@ def cached_enrich(
     newest version in `dim` (columns `key`, `version`, `value`) at or before the row's time. Also
     adds `fetched_at`.
 
-    As in the reference's callback, a fetch that finds nothing caches nothing, so the next row
+    As in a hand-written callback, a fetch that finds nothing caches nothing, so the next row
     fetches again: each key's rows before its first version are left out of the ttl chain.
     """
-    versions = dim.select(key, F.col(version).alias("__v"), F.col(value).alias("__value"))
-    versions = versions.filter(F.col("__value").isNotNull()).withColumn("__low", F.lit(None))
-    versions = versions.withColumn("__low", F.col("__low").cast(df.schema[tiebreak].dataType))
-    # Newest version for each row; nulls sort first, so a version at the row's own time counts.
-    seen = latest_before(df, versions, key, [ts, tiebreak], ["__v", "__low"], "__now", hot_rows)
-    found = seen.filter(F.col("__now").isNotNull())
-    narrow = found.select(key, ts, tiebreak, F.col("__now.__value").alias("__value"))
-    fetches = first_seen_ttl(narrow, key, ts, ttl, tiebreak, hot_rows=hot_rows)
-    cached = latest_before(
-        df, fetches, key, [ts, tiebreak], [ts, tiebreak], "__cached", hot_rows
+    columns = df.columns
+    slots = ["__o0", "__o1", "__side"]
+    rows = df.select(
+        *columns,
+        F.col(ts).alias("__o0"),
+        F.col(tiebreak).alias("__o1"),
+        F.lit(2).alias("__side"),
     )
-    return cached.withColumns(
-        {name: F.col("__cached.__value"), "fetched_at": F.col(f"__cached.{ts}")}
-    ).drop("__cached")
+    # A version's missing tiebreak sorts first, so one at the row's own time counts.
+    versions = dim.filter(F.col(value).isNotNull()).select(
+        key, F.col(version).alias("__o0"), F.lit(0).alias("__side"), F.col(value).alias("__value")
+    )
+    refetch = on_emit("__seen", "__o0", millis(ttl))
+
+    def body(both: DataFrame, lane: Lane) -> DataFrame:
+        seen = lane.last(both, "__now", F.col("__value")).filter(F.col("__side") == 2)
+        narrow = [*lane.scope, *slots]
+        found = seen.filter(F.col("__now").isNotNull()).select(
+            *narrow, "__now", F.lit(True).alias("__seen")
+        )
+        # A fetch goes in just before its own row; each row then takes the latest fetch.
+        fetches = refetch(found, lane).select(
+            *[F.lit(1).alias(c) if c == "__side" else c for c in narrow],
+            F.struct(F.col("__now").alias("value"), F.col("__o0").alias("at")).alias("__fetch"),
+        )
+        merged = seen.drop("__now", "__value").unionByName(fetches, allowMissingColumns=True)
+        cached = lane.last(merged, "__cached", F.col("__fetch")).filter(F.col("__side") == 2)
+        return cached.select(
+            *columns,
+            *([CHUNK] if lane.chunked else []),
+            F.col("__cached.value").alias(name),
+            F.col("__cached.at").alias("fetched_at"),
+        )
+
+    both = rows.unionByName(versions, allowMissingColumns=True)
+    return over_lanes(both, key, slots, body, hot_rows)
 
 
 def upsert_latest(

@@ -113,6 +113,9 @@ class Lane:
         return df.withColumn("__l", local).withColumn(name, joined).drop("__c", "__l")
 
 
+Body = Callable[[DataFrame, Lane], DataFrame]
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; unknown sources count as very large."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -147,10 +150,14 @@ def over_lanes(
     df: DataFrame,
     keys: str | Sequence[str],
     order: str | Sequence[str],
-    body: Callable[[DataFrame, Lane], DataFrame],
+    body: Body,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Run `body(rows, lane)` on the ordinary keys and, chunked, on the hot keys."""
+    """Run `body(rows, lane)` on the ordinary keys and, chunked, on the hot keys.
+
+    A body keeps the columns it does not know, so that bodies can be chained inside one call: hot
+    keys are then looked for, and cut, only once.
+    """
     keys, order = as_list(keys), as_list(order)
     hot = hot_keys(df, keys, hot_rows)
     if hot is None:

@@ -315,6 +315,20 @@ def stream_st10(spark, sf):
     return _stream(spark, sf, step, ", count bigint")
 
 
+@query("stream_st11_cached_enrich", SQL["st11_cached_enrich"])
+def stream_st11(spark, sf):
+    rows = event_stream(spark, sf).select(*EVENT)
+    versions = (
+        event_stream(spark, sf)
+        .filter(F.col("event_type") == "signup")
+        .select("user_id", F.col("timestamp").alias("version"), F.col("event_id").alias("profile"))
+    )
+    out = processor.cached_enrich_stream(
+        rows, versions, "user_id", "timestamp", 2 * DAY, "version", "profile", "event_id"
+    )
+    return runner.run_available(out)
+
+
 @query("stream_st12_upsert_latest", f"SELECT {COLS} FROM {O.E}")
 def stream_st12(spark, sf):
     return _stream(spark, sf, callbacks.upsert("event_type", 16))

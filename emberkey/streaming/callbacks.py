@@ -87,3 +87,24 @@ def upsert(value: str, pad_bytes: int = 0) -> Callback:
         yield row
 
     return step
+
+
+def cached_lookup(ttl: Duration, name: str = "profile") -> Callback:
+    """Answer records from a cache that a fetch fills for `ttl`.
+
+    Rows with `__side` 0 carry a new version in `__value`; the others are records. A fetch takes the
+    newest version that came before.
+    """
+
+    def step(row: dict, key: tuple, ts: int, state: State) -> Iterator[dict]:
+        if row["__side"] == 0:
+            state.set("version", row["__value"])
+            return
+        cached = state.get("cached")
+        if cached is None and state.get("version") is not None:
+            cached = [state.get("version"), ts]
+            state.set("cached", cached, ttl)
+        value, fetched_at = cached or (None, None)
+        yield {**row, name: value, "fetched_at": fetched_at}
+
+    return step

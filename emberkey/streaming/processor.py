@@ -15,22 +15,26 @@ from emberkey.operators.dedup import Cols, Duration
 from emberkey.operators.ordered import as_list
 from emberkey.operators.process import Callback, State
 from emberkey.session import ROCKSDB_PROVIDER, millis
+from emberkey.streaming.callbacks import cached_lookup
 
 # Entries as JSON with their deadlines, and the key's event-time clock.
 STATE_SCHEMA = "entries string, clock_ms bigint"
 
 
-def _plain(value: Any) -> Any:
-    missing = value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value)
-    return None if missing else value
+def _plain(value: Any, whole: bool) -> Any:
+    """Nulls as None, and whole numbers as such where nulls beside them made them floats."""
+    if value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
+        return None
+    return int(value) if whole and isinstance(value, float) else value
 
 
 class CallbackProcessor(StatefulProcessor):
     def __init__(
-        self, fn: Callback, columns: list[str], ts: str, order: list[str], names: list[str],
+        self, fn: Callback, schema: T.StructType, ts: str, order: list[str], names: list[str],
         evict: bool,
     ):
-        self.fn, self.columns, self.ts = fn, columns, ts
+        self.fn, self.columns, self.ts = fn, schema.fieldNames(), ts
+        self.whole = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)}
         self.order, self.names, self.evict = order, names, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -43,8 +47,9 @@ class CallbackProcessor(StatefulProcessor):
         # One key's rows of one micro-batch; their order after the shuffle is not promised.
         batch: list[dict] = []
         for pdf in rows:
-            cells = zip(*[pdf[c].tolist() for c in self.columns])
-            batch += [dict(zip(self.columns, map(_plain, row))) for row in cells]
+            # By position: Spark hands over names that are no identifiers, as `__key`, as `_1`.
+            for row in pdf.itertuples(index=False, name=None):
+                batch.append({c: _plain(v, c in self.whole) for c, v in zip(self.columns, row)})
         batch.sort(key=lambda row: [row[c] for c in self.order])
         state = State(*(self.store.get() or (None, None)))
         out: list[dict] = []
@@ -95,7 +100,7 @@ def keyed_process_stream(
     keys, order = as_list(key), as_list(order)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    columns = df.columns
+    given = df.schema
     if eviction not in ("none", "event_time"):
         raise ValueError(f"eviction must be 'none' or 'event_time', got {eviction!r}")
     evict = eviction == "event_time"
@@ -105,12 +110,42 @@ def keyed_process_stream(
         df = df.withColumn("__event_time", F.timestamp_millis(F.col(ts))).withWatermark(
             "__event_time", f"{millis(late_tolerance)} milliseconds"
         )
-    processor = CallbackProcessor(fn, columns, ts, order, schema.fieldNames(), evict)
+    processor = CallbackProcessor(fn, given, ts, order, schema.fieldNames(), evict)
     return df.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "append", "EventTime" if evict else "None"
     )
 
 
+def cached_enrich_stream(
+    df: DataFrame,
+    versions: DataFrame,
+    key: str,
+    ts: str,
+    ttl: Duration,
+    version: str,
+    value: str,
+    tiebreak: str,
+    name: str = "profile",
+    **options,
+) -> DataFrame:
+    """`cached_enrich` on a stream of records and a stream of versions (key, version, value)."""
+    records = df.withColumn("__side", F.lit(1))
+    news = versions.select(
+        key, F.col(version).alias(ts), F.lit(0).alias("__side"), F.col(value).alias("__value")
+    )
+    both = records.unionByName(news, allowMissingColumns=True)
+    both = both.withColumn(tiebreak, F.coalesce(tiebreak, F.lit(0)))
+    schema = T.StructType(
+        [
+            *df.schema.fields,
+            T.StructField(name, versions.schema[value].dataType),
+            T.StructField("fetched_at", T.LongType()),
+        ]
+    )
+    step = cached_lookup(ttl, name)
+    return keyed_process_stream(both, key, step, schema, ts, [ts, "__side", tiebreak], **options)
+
+
 def first_seen_stream(df: DataFrame, key: Cols) -> DataFrame:
     """Each key once for ever, on Spark's own operator (stays in the JVM)."""
     return df.dropDuplicates(as_list(key))

@@ -34,12 +34,15 @@ def test_counter_restarts_exactly_at_the_gap(spark):
     assert counted(counters.counter_ttl(df, "k", "ts", TTL, "id")) == {0: 1, 1: 2, 2: 1}
 
 
-def test_dedup_then_count(spark):
+@pytest.mark.parametrize("hot_rows", [None, 30])
+def test_dedup_then_count(spark, hot_rows):
     rows = brute.skewed_rows()
     df = spark.createDataFrame(rows, SCHEMA)
     kept = brute.on_change(rows, 5 * MIN)
     want = brute.counts([r for r in rows if r[0] in kept], 5 * MIN)
-    assert counted(counters.dedup_then_count(df, "k", "v", "ts", TTL, "id")) == want
+    assert counted(
+        counters.dedup_then_count(df, "k", "v", "ts", TTL, "id", hot_rows=hot_rows)
+    ) == want
 
 
 @pytest.mark.parametrize("hot_rows", [None, 4])
@@ -100,7 +103,7 @@ def test_callback_sees_exact_values(spark):
         df, "k", echo, "k string, n bigint, total bigint, at timestamp", "ts", "ts"
     )
     assert sorted((r["n"] or 0, r["total"]) for r in out.collect()) == [(0, big), (big, big)]
-    assert out.filter("at = timestamp_millis(ts)").count() == 2 if "ts" in out.columns else True
+    assert out.filter("unix_millis(at) in (0, 1)").count() == 2
 
 
 def test_state_entries():

@@ -116,6 +116,21 @@ def test_payload_of_any_type_survives(spark):
     assert found.columns == df.columns
 
 
+@pytest.mark.parametrize("hot_rows", [None, 20])
+def test_multi_entry_on_a_hot_key(spark, hot_rows):
+    rows = brute.skewed_rows()
+    ttls = {"last_status": TTL, "last_seen_at": timedelta(minutes=2)}
+    found = dedup.dedup_multi_entry(
+        frame(spark, rows), "k", "v", "ts", ttls, "id", hot_rows=hot_rows
+    )
+    want, kept = {}, brute.on_change(rows, 5 * MIN)
+    for group in brute.by_key([r for r in rows if r[0] in kept]):
+        for last, (i, _, _, ts) in zip([None, *group], group):
+            live = last is not None and ts < last[3] + 2 * MIN
+            want[i] = last[3] if live else None
+    assert {r["id"]: r["previous_seen_at"] for r in found.collect()} == want
+
+
 def test_multi_entry_clocks_are_separate(spark):
     rows = [(0, "a", "ON", 0), (1, "a", "OFF", MIN), (2, "a", "ON", 4 * MIN)]
     ttls = {"last_status": TTL, "last_seen_at": timedelta(minutes=2)}

@@ -152,3 +152,23 @@ def test_store_stats(spark, tmp_path):
     runner.await_end(query, 300)
     stats = runner.store_stats(query)
     assert len(stats) == 1 and stats[0]["est_keys"] == 4
+
+
+def test_odd_column_names_and_nullable_numbers(spark, tmp_path):
+    """Names that are no identifiers, and whole numbers next to nulls, come through unchanged."""
+    big = 2**53
+
+    def echo(row, key, ts, state):
+        before = state.get("n")
+        state.set("n", row["n"])
+        yield {**row, "before": before}
+
+    rows = [("a", 1, 0, "x"), ("a", None, 1, "y"), ("a", big, 2, None)]
+    schema = "k string, n bigint, ts bigint, __key string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = processor.keyed_process_stream(
+        df, "k", echo, schema + ", before bigint", "ts", "ts"
+    )
+    got = {tuple(r) for r in runner.run_available(out).collect()}
+    assert got == {("a", 1, 0, "x", None), ("a", None, 1, "y", 1), ("a", big, 2, None, None)}
