@@ -2,8 +2,8 @@
 
 `over_lanes` is the entry point. Keys of ordinary size run as plain window functions, one
 exchange on the key. A key with more than `hot_rows` rows is range-partitioned on
-(key, order) into chunks of about that many rows; windows then run per (key, chunk), and one small
-row per chunk carries the result across the chunk edge.
+(key, order) into chunks; windows then run per (key, chunk), and one small row per chunk carries the
+result across the chunk edge.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from emberkey.session import materialize
 
 CHUNK = "__chunk"
 HOT_ROWS = 1_000_000
+# Hot keys are cut into chunks of a quarter of the limit, the size of an ordinary task, but into no
+# more chunks than a range partitioning can have.
+CHUNKS_PER_LIMIT = 4
+MAX_CHUNKS = 100_000
 # Inputs estimated below this size cannot hold a key worth splitting; the count pass is skipped.
 PROFILE_MIN_BYTES = 32 * 1024 * 1024
 # At most this many hot keys are split; smaller ones keep the plain path, which is exact as well.
@@ -163,7 +167,7 @@ def over_lanes(
     if hot is None:
         return body(df, Lane(tuple(keys), tuple(order)))
     frame, rows = hot
-    chunks = rows // (hot_rows or HOT_ROWS) + 1
+    chunks = min(CHUNKS_PER_LIMIT * rows // (hot_rows or HOT_ROWS) + 1, MAX_CHUNKS)
     listed = F.broadcast(frame)  # bounded by MAX_HOT_KEYS
     cold = df.join(listed, same(df, listed, keys), "left_anti")
     cut = (
