@@ -257,10 +257,11 @@ def table_schema(spark: SparkSession, table: str) -> T.StructType:
 
 def read_lake(spark: SparkSession, table: str) -> DataFrame:
     """All published rows. Filters on physical columns prune folders."""
-    return _scan(spark, table).drop("commit")
+    return scan(spark, table).drop("commit")
 
 
-def _scan(spark: SparkSession, table: str) -> DataFrame:
+def scan(spark: SparkSession, table: str) -> DataFrame:
+    """All published rows with their `commit` and `_metadata`, as `file_stats` takes them."""
     live = commits(spark, table)
     schema = table_schema(spark, table)
     if not live:

@@ -651,7 +651,7 @@ UNION ALL SELECT year, month, day, event_type, 'event_id', e0, e1, n, 0 FROM f""
 )
 def stat1(spark, sf):
     path = _lake(spark, sf)
-    rows = lake._scan(spark, path)
+    rows = lake.scan(spark, path)
     stats = lake.file_stats(rows, LAYOUT, ["timestamp", "event_id"])
     return stats.groupBy("year", "month", "day", "event_type", "column").agg(
         F.min(F.col("min").cast("bigint")).alias("min"),

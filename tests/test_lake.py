@@ -133,7 +133,7 @@ def test_a_large_folder_is_spread_over_tasks(spark, tmp_path):
         F.col("id").alias("timestamp"),
     )
     lake.write_lake(rows, table, lake.Layout.parse("status"), "timestamp", max_workers=8)
-    stats = lake.file_stats(lake._scan(spark, table), lake.Layout.parse("status")).collect()
+    stats = lake.file_stats(lake.scan(spark, table), lake.Layout.parse("status")).collect()
     large = sorted((int(r["min"]), int(r["max"])) for r in stats if r["status"] == "ON")
     assert len(large) >= 6
     assert all(a[1] < b[0] for a, b in zip(large, large[1:]))  # separate ranges
