@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberkey.llm import ann, bpe, merkle, mixing, quality, toxicity, urlfilter, warc
+from emberkey.llm import ann, bpe, merkle, minhash, mixing, quality, toxicity, urlfilter, warc
 from emberkey.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain: junk (the quality label turned round), then toxic."""
     labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
     return toxicity.score_documents(read(spark, sf_dir, "documents"), labels, ("junk", "toxic"))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
