@@ -175,3 +175,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOC
 
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("h"))
     return inputs.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+    """The rows whose text scores at least `least`, with all their columns; doc_id is a long and text a string.
+
+    The model is trained as in `score_documents`; rows are judged where they are, without a join.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+    text_at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            at = 0
+            texts = ((utf8(t),) for (t,) in arrow_rows([batch.select([text_at])]))
+            for rows in blocks(texts, 0):
+                if model:
+                    good[at : at + len(rows)] = model.score(*encode([t for (t,) in rows])) >= least
+                at += len(rows)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(work, docs.schema)
