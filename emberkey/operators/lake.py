@@ -168,14 +168,22 @@ def write_lake(
     rows_per_file: int = 5_000_000,
     check: bool = True,
 ) -> str:
-    """Append `df` as one commit and return its id; the same id again replaces that commit.
+    """Append `df` as one commit and return its id; an id that was published before writes nothing.
+
+    A table keeps its layout, sort and timestamp columns and its schema; other ones are refused.
 
     Rows are range-partitioned on (folder, sort column): a folder of any size is spread over as many
     tasks as its share of the rows asks for, small folders share a task, and files of one folder
     cover separate ranges of the sort column. `max_workers` fixes the number of tasks.
     """
     spark = df.sparkSession
+    if commit and _exists(spark, f"{table}/_commits/{commit}"):
+        return commit
     known = validate_layout(spark, table, layout) if check else properties(spark, table)
+    asked = {"timestamp_column": ts_col, "sort_column": sort_col}
+    for name, column in asked.items():
+        if known and column is not None and column != known[name]:
+            raise LayoutMismatch(f"{name} is {known[name]}, asked {column}")
     sort_col = sort_col or (known or {}).get("sort_column") or ts_col
     if set(layout.physical) & set(CALENDAR):
         columns = df.columns
@@ -185,6 +193,12 @@ def write_lake(
     missing = [c for c in (*layout.spec, sort_col) if c not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are not in the rows")
+    if known:
+        kinds = {f["name"]: f["type"] for f in known["schema"]["fields"]}
+        given = {f["name"]: f["type"] for f in json.loads(df.schema.json())["fields"]}
+        if kinds != given:
+            odd = sorted(n for n in kinds.keys() | given.keys() if kinds.get(n) != given.get(n))
+            raise LayoutMismatch(f"columns {odd} are not as in the table")
     if known is None and auto_discover:
         record = {
             "partition_spec": layout.spec,
@@ -276,17 +290,23 @@ def query_lake(spark: SparkSession, table: str, view: str, sql: str) -> DataFram
 
 
 def lake_sink(
-    table: str, layout: Layout, ts_col: str, **options
+    table: str, layout: Layout, ts_col: str, writer: str | None = None, **options
 ) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: one commit per batch, named by it, so a replay counts once.
+    """A `foreachBatch` function: one commit per batch and writer, so a replay counts once.
 
-    The layout is checked against the table once, before the first batch.
+    Batch numbers start anew with every checkpoint, so a commit is named by its writer too: the
+    stream's id, which its checkpoint keeps over restarts, unless `writer` names one. A batch that was
+    published before, even if compacted since, writes nothing. The layout is checked against the table once, before the first batch.
     """
     checked = False
 
     def write(batch: DataFrame, batch_id: int) -> None:
         nonlocal checked
-        name = f"batch-{batch_id:012d}"
+        context = batch.sparkSession.sparkContext
+        who = writer or context.getLocalProperty("sql.streaming.queryId")
+        if not who:
+            raise ValueError("outside a stream, name the writer")
+        name = f"{who}-batch-{batch_id:012d}"
         write_lake(batch, table, layout, ts_col, commit=name, check=not checked, **options)
         checked = True
 
@@ -372,12 +392,35 @@ def manifest(rows: DataFrame, layout: Layout, columns: list[str] | None = None)
     )
 
 
+MANIFEST = (
+    "file_path string, partition_values map<string,string>, column_stats map<string, struct<"
+    "type:string,min:string,max:string,null_count:bigint,value_count:bigint>>, commit string"
+)
+
+
 def read_manifest(spark: SparkSession, table: str) -> DataFrame:
-    """Manifest rows of the published commits."""
+    """Manifest rows of the published commits; files of commits without one have no bounds."""
     live = commits(spark, table)
-    rows = spark.read.option("basePath", f"{table}/_manifest").parquet(
-        *[f"{table}/_manifest/commit={c}" for c in live]
-    )
+    described = [c for c in live if _exists(spark, f"{table}/_manifest/commit={c}")]
+    rows = None
+    if described:
+        rows = spark.read.option("basePath", f"{table}/_manifest").parquet(
+            *[f"{table}/_manifest/commit={c}" for c in described]
+        )
+    plain = [c for c in live if c not in set(described)]
+    if plain or rows is None:
+        schema = rows.schema if rows is not None else T._parse_datatype_string(MANIFEST)
+        if plain:
+            files = _read_commits(spark, table, plain, table_schema(spark, table))
+            files = files.select("_metadata.file_path", "commit").distinct()
+        else:
+            files = spark.createDataFrame([], "file_path string, commit string")
+        empty = [
+            F.col(f.name) if f.name in files.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
+        files = files.select(*empty)
+        rows = files if rows is None else rows.unionByName(files)
     return rows
 
 
@@ -393,7 +436,8 @@ def prune_files(
     only if its bounds, or its lack of non-null values, rule a match out.
     """
     for column, value in (partitions or {}).items():
-        entries = entries.filter(F.col("partition_values")[column] == value)
+        held = F.col("partition_values")
+        entries = entries.filter(held.isNull() | (held[column] == value))
     for column, (low, high) in ranges.items():
         kind = schema[column].dataType
         stats = F.col("column_stats")[column]

@@ -19,14 +19,8 @@ from emberkey.session import materialize
 
 CHUNK = "__chunk"
 HOT_ROWS = 1_000_000
-# Hot keys are cut into chunks of a quarter of the limit, the size of an ordinary task, but into no
-# more chunks than a range partitioning can have.
+# Hot keys are cut into chunks of a quarter of the limit, the size of an ordinary task.
 CHUNKS_PER_LIMIT = 4
-MAX_CHUNKS = 100_000
-# Inputs estimated below this size cannot hold a key worth splitting; the count pass is skipped.
-PROFILE_MIN_BYTES = 32 * 1024 * 1024
-# At most this many hot keys are split; smaller ones keep the plain path, which is exact as well.
-MAX_HOT_KEYS = 100_000
 
 
 def as_list(cols: str | Sequence[str]) -> list[str]:
@@ -120,34 +114,18 @@ class Lane:
 Body = Callable[[DataFrame, Lane], DataFrame]
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; unknown sources count as very large."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def hot_keys(
     df: DataFrame, keys: Sequence[str], hot_rows: int | None
 ) -> tuple[DataFrame, int] | None:
     """Keys with more than `hot_rows` rows, and the rows they hold together; None if there are none.
 
-    Reads the key columns only and pre-aggregates before the shuffle.
+    Reads the key columns only and pre-aggregates before the shuffle. The keys stay a table; only
+    their total reaches the driver.
     """
-    if hot_rows is None:
-        if estimated_bytes(df) < PROFILE_MIN_BYTES:
-            return None
-        hot_rows = HOT_ROWS
-    counts = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n"))
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = counts.collect()  # at most MAX_HOT_KEYS rows, whatever the input size
-    if not rows:
-        return None
-    frame = df.sparkSession.createDataFrame(rows, counts.schema).drop("__n")
-    return frame, sum(r["__n"] for r in rows)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = materialize(counts.filter(F.col("__n") > (hot_rows or HOT_ROWS)), "hot-keys")
+    total = hot.agg(F.sum("__n")).first()[0]
+    return (hot.drop("__n"), total) if total else None
 
 
 def over_lanes(
@@ -167,8 +145,8 @@ def over_lanes(
     if hot is None:
         return body(df, Lane(tuple(keys), tuple(order)))
     frame, rows = hot
-    chunks = min(CHUNKS_PER_LIMIT * rows // (hot_rows or HOT_ROWS) + 1, MAX_CHUNKS)
-    listed = F.broadcast(frame)  # bounded by MAX_HOT_KEYS
+    chunks = CHUNKS_PER_LIMIT * rows // (hot_rows or HOT_ROWS) + 1
+    listed = frame  # joined by its size, which is known
     cold = df.join(listed, same(df, listed, keys), "left_anti")
     cut = (
         df.join(listed, same(df, listed, keys), "left_semi")

@@ -221,7 +221,8 @@ def cycle_criteria(
 ) -> DataFrame:
     """Per deployment the criteria over all its cycles and the verdict.
 
-    Deployments in `feature` pass or fail. The others are expected to show trouble: `degraded` if a
+    Deployments in `feature` pass or fail; without progress samples in some cycle they can't pass and
+    are `inconclusive`. The others are expected to show trouble: `degraded` if a
     cycle stalls for `stall_s`, or has an eviction together with a retry storm (more than
     `max_attempt` attempts on a lock or at least `storm_retries` retries); else `inconclusive`.
     """
@@ -231,6 +232,7 @@ def cycle_criteria(
         F.bool_and(F.col("max_lock_attempt") <= max_attempt).alias("bounded_lock_retries"),
         F.bool_or("fast_revoke_seen").alias("fast_revoke_present"),
         F.bool_and(stall < stall_s).alias("bounded_output_stall"),
+        F.bool_or(F.coalesce("longest_output_stall_s", "handover_s").isNull()).alias("__unseen"),
         F.bool_and(F.col("evictions") == 0).alias("no_eviction"),
         F.bool_and(~F.col("open_budget_hit") & ~F.col("revoke_flush_timeout")).alias(
             "budgets_not_exhausted"
@@ -246,7 +248,10 @@ def cycle_criteria(
     )
     return found.withColumn(
         "verdict",
-        F.when(F.col("deployment").isin(feature), F.when(passed, "pass").otherwise("fail"))
+        F.when(
+            F.col("deployment").isin(feature),
+            F.when(passed & F.col("__unseen"), "inconclusive").when(passed, "pass").otherwise("fail"),
+        )
         .when(F.col("degraded_seen"), "degraded")
         .otherwise("inconclusive"),
-    )
+    ).drop("__unseen")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from emberkey.functions.keys import expiry_bucket
 from emberkey.operators.carry import null_safe_join
 from emberkey.operators.dedup import Duration
-from emberkey.session import millis
+from emberkey.operators.ordered import over_lanes
+from emberkey.session import materialize, millis
 
 STATE_COLUMNS = ["partition", "key", "value", "stamped", "expires_at_ms"]
 BUCKETS = ["expired", "lt_1h", "h1_24", "gt_24h", "never"]
@@ -53,18 +54,25 @@ def expire_state(
 
 
 def tombstones(evicted: DataFrame, changelog: DataFrame, enabled: bool = True) -> DataFrame:
-    """Changelog rows that delete the evicted keys, offset after each partition's end.
+    """Changelog rows that delete the evicted keys, numbered by key after each partition's end.
 
     Disabled, the sweep stays local and the log gets nothing.
     """
     ends = changelog.groupBy("partition").agg(F.max("offset").alias("__end"))
     rows = evicted if enabled else evicted.filter(F.lit(False))
     value_type = changelog.schema["value"].dataType
-    rows = rows.join(ends, "partition", "left")
+    # A partition is a hot key; over lanes its rows are numbered in chunks.
+    rows = over_lanes(
+        rows.select("partition", "key").withColumn("__one", F.lit(1).cast("bigint")),
+        "partition",
+        "key",
+        lambda df, lane: lane.running(df, "__n", F.col("__one")),
+    )
+    # One row per partition, so the join is a broadcast by its size.
+    rows = rows.join(materialize(ends, "ends"), "partition", "left")
     return rows.select(
         "partition",
-        # Keys are unique among the evicted, so the tombstones of a partition may share an offset.
-        (F.coalesce("__end", F.lit(-1)) + 1).alias("offset"),
+        (F.coalesce("__end", F.lit(-1)) + F.col("__n")).alias("offset"),
         "key",
         F.lit(None).cast(value_type).alias("value"),
         F.lit(False).alias("stamped"),

@@ -399,8 +399,9 @@ def tbl3_budget(spark, sf):
 
 @query(
     "tbl4_tombstones",
-    f"""SELECT c.partition, (SELECT max("offset") + 1 FROM {O.CHANGELOG} x
-  WHERE x.partition = c.partition) AS "offset", c.key FROM {O.COMPACTED} c WHERE {SQL_DUE}""",
+    f"""SELECT c.partition, (SELECT max("offset") FROM {O.CHANGELOG} x WHERE x.partition = c.partition)
+  + row_number() OVER (PARTITION BY c.partition ORDER BY c.key) AS "offset", c.key
+  FROM {O.COMPACTED} c WHERE {SQL_DUE}""",
 )
 def tbl4(spark, sf):
     log = T.changelog(spark, sf)
@@ -637,7 +638,7 @@ def snk3(spark, sf):
         .trigger(availableNow=True)
         .start()
     )
-    runner.await_end(sink, 900)
+    runner.await_end(sink)
     return lake.read_lake(spark, path).select(*LAKE_COLS)
 
 

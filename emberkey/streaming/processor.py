@@ -22,10 +22,10 @@ STATE_SCHEMA = "entries string, clock_ms bigint"
 
 
 def _plain(value: Any, whole: bool) -> Any:
-    """Nulls as None, and whole numbers as such where nulls beside them made them floats."""
-    if value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
+    """Nulls as None, and whole numbers as such; they come as text, because nulls beside them would make them floats."""
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
-    return int(value) if whole and isinstance(value, float) else value
+    return int(value) if whole and not isinstance(value, bool) else value
 
 
 class CallbackProcessor(StatefulProcessor):
@@ -111,6 +111,9 @@ def keyed_process_stream(
             "__event_time", f"{millis(late_tolerance)} milliseconds"
         )
     processor = CallbackProcessor(fn, given, ts, order, schema.fieldNames(), evict)
+    # Whole numbers travel as text: in pandas, a null beside them would turn them into floats.
+    whole = [f.name for f in given.fields if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
+    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole})
     return df.groupBy(*keys).transformWithStateInPandas(
         processor, schema, "append", "EventTime" if evict else "None"
     )

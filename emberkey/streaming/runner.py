@@ -12,8 +12,11 @@ class StreamTimeout(RuntimeError):
     """The stream had not caught up within the time given."""
 
 
-def await_end(query: StreamingQuery, timeout_s: int) -> None:
-    if not query.awaitTermination(timeout_s):
+def await_end(query: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait until the stream has ended; with a timeout, stop it then and raise."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise StreamTimeout(f"query {query.name or query.id} ran longer than {timeout_s} s")
 
@@ -22,7 +25,7 @@ def run_available(
     stream: DataFrame,
     path: str | None = None,
     checkpoint: str | None = None,
-    timeout_s: int = 900,
+    timeout_s: int | None = None,
 ) -> DataFrame:
     """Process what the source has now into a parquet table, exactly once, and read the table."""
     spark: SparkSession = stream.sparkSession

@@ -72,10 +72,12 @@ def test_properties(spark, rows, tmp_path):
     assert known["partition_spec"] == ["year", "month", "day", "hour", "status", "order_id"]
     assert known["virtual_partitions"] == ["order_id"]
     assert (known["sort_column"], known["timestamp_column"]) == ("seq", "timestamp")
-    # Unset falls back to the timestamp; later writes leave the record alone.
+    # Unset falls back to the timestamp; another sort column needs a fresh table.
     other = str(tmp_path / "u")
     write(rows, other, sort_col=None)
-    write(rows, other, sort_col="seq")
+    with pytest.raises(lake.LayoutMismatch):
+        write(rows, other, sort_col="seq")
+    write(rows, other, sort_col=None)
     assert lake.properties(spark, other)["sort_column"] == "timestamp"
 
 
@@ -265,7 +267,7 @@ def test_stream_sink_and_replay(spark, rows, tmp_path):
     inbox, table = str(tmp_path / "in"), str(tmp_path / "t")
     rows.repartition(3).write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    sink = lake.lake_sink(table, LAYOUT, "timestamp", sort_col="seq")
+    sink = lake.lake_sink(table, LAYOUT, "timestamp", writer="w", sort_col="seq")
     query = (
         stream.writeStream.foreachBatch(sink)
         .option("checkpointLocation", str(tmp_path / "ck"))
@@ -278,3 +280,32 @@ def test_stream_sink_and_replay(spark, rows, tmp_path):
     files = sorted(f for f in os.listdir(inbox) if f.endswith(".parquet"))
     sink(spark.read.schema(rows.schema).parquet(f"{inbox}/{files[0]}"), 0)  # batch 0 once more
     assert len(lake.commits(spark, table)) == 3
+
+
+def test_two_writers_compaction_and_replay(spark, rows, tmp_path):
+    table = str(tmp_path / "t")
+    first, second = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")
+    for who, half in (("a", first), ("b", second)):
+        lake.lake_sink(table, LAYOUT, "timestamp", writer=who, sort_col="seq")(half, 0)
+    assert everything(lake.read_lake(spark, table).select(*rows.columns)) == everything(rows)
+    lake.compact(spark, table, LAYOUT)
+    lake.lake_sink(table, LAYOUT, "timestamp", writer="a", sort_col="seq")(first, 0)  # a replay
+    assert everything(lake.read_lake(spark, table).select(*rows.columns)) == everything(rows)
+    lake.lake_sink(table, LAYOUT, "timestamp", writer="a", sort_col="seq")(first, 1)
+    assert lake.read_lake(spark, table).count() == rows.count() + first.count()
+
+
+def test_append_refuses_another_schema_or_sort(spark, rows, tmp_path):
+    table = str(tmp_path / "t")
+    lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="seq")
+    with pytest.raises(lake.LayoutMismatch):
+        lake.write_lake(rows.withColumn("extra", F.lit(1)), table, LAYOUT, "timestamp")
+    with pytest.raises(lake.LayoutMismatch):
+        lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="timestamp")
+
+
+def test_commit_without_manifest_is_read(spark, rows, tmp_path):
+    table = str(tmp_path / "t")
+    lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="seq")
+    lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="seq", auto_discover=False)
+    assert lake.read_range(spark, table, "seq", 10, 19).count() == 2 * rows.filter("seq between 10 and 19").count()

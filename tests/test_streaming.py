@@ -172,3 +172,17 @@ def test_odd_column_names_and_nullable_numbers(spark, tmp_path):
     )
     got = {tuple(r) for r in runner.run_available(out).collect()}
     assert got == {("a", 1, 0, "x", None), ("a", None, 1, "y", 1), ("a", big, 2, None, None)}
+
+
+def test_large_numbers_beside_nulls_stay_exact(spark, tmp_path):
+    big = 2**53 + 1
+    rows = [("k", 1, big), ("k", 2, None), ("k", 3, big + 2)]
+    spark.createDataFrame(rows, "k string, at bigint, v bigint").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, at bigint, v bigint").parquet(str(tmp_path / "in"))
+
+    def same(row, key, timestamp, state):
+        yield row
+
+    out = processor.keyed_process_stream(stream, "k", same, stream.schema, ts="at", order="at")
+    got = runner.run_available(out)
+    assert sorted((r["at"], r["v"]) for r in got.collect()) == [(1, big), (2, None), (3, big + 2)]
