@@ -83,7 +83,7 @@ def on_emit(value: str, ts: str, ttl_ms: int, order_by: Cols | None = None) -> B
             & F.col("__seg").isNotNull()
             & (F.col(value).isNull() | (F.col("__clock") >= F.col("__seg.own") + ttl_ms))
         )
-        folded = _fold_segments(later, lane, value, ts, ttl_ms, columns, order_by is None)
+        folded = _fold_segments(later, lane, value, ts, ttl_ms, columns)
         return starts.select(*columns).unionByName(folded)
 
     return body
@@ -150,7 +150,6 @@ def _fold_segments(
     ts: str,
     ttl_ms: int,
     columns: list[str],
-    in_order: bool,
 ) -> DataFrame:
     """Rows of `rows` that find the segment's entry expired (or, for nulls, live)."""
     item = F.struct(
@@ -164,7 +163,7 @@ def _fold_segments(
     groups = rows.groupBy(*scope).agg(_in_order(F.collect_list(item), rows).alias("__items"))
     deadline = F.col("__seg.own") + ttl_ms
     if lane.chunked:
-        known = carried_deadlines(rows, lane, ts, ttl_ms, value, in_order)
+        known = carried_deadlines(rows, lane, ts, ttl_ms, value)
         if known is not None:
             groups = null_safe_join(groups, known, [*lane.keys, "__seg", CHUNK], "left")
             deadline = F.coalesce(F.col("__known"), deadline)
