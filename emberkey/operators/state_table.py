@@ -136,9 +136,10 @@ def migrate_legacy_ttl(
         .withColumn("flips", F.col("action").isin("flipped_empty", "backfilled"))
         .withColumn("in_ttl_mode", F.col("ttl_enabled") | F.col("flips"))
     )
+    plan = materialize(plan, "ttl-plan")
     last = _latest_writes(writes)
     kept = null_safe_join(state, last.select("partition", "key"), ["partition", "key"], "left_anti")
-    # One row per partition: Spark broadcasts `plan` by its size, the state itself is not shuffled.
+    # One row per partition, written, so that its size is known: joined to it, the state is not shuffled by partition.
     facts = plan.select("partition", "deadline", "in_ttl_mode")
     stamp = ~F.col("stamped") & F.col("deadline").isNotNull()
     kept = kept.join(facts, "partition", "left").select(
@@ -193,6 +194,7 @@ def resume_migration(
     open_parts = meta.filter(F.col("ttl_enabled") & ~F.col("migration_done")).select(
         "partition", (F.col("high_water_ms") + millis(window)).alias("__deadline")
     )
+    open_parts = materialize(open_parts, "open-partitions")
     rows = null_safe_join(state, listed, ["partition", "key"], "left")
     rows = rows.join(open_parts, "partition", "left")
     stamp = ~F.col("stamped") & F.col("__listed").isNull() & F.col("__deadline").isNotNull()
