@@ -168,3 +168,15 @@ def test_emitted_keys(spark):
     assert dedup.emitted_keys(df.na.fill("none", ["k"]), "k").first()["session_seen"] == 4
     sketch = dedup.emitted_keys(df.na.fill("none", ["k"]), "k", approximate=True)
     assert sketch.first()["session_seen"] == 4
+
+
+def test_jobs_of_a_chain_do_not_grow_with_its_chunks(spark):
+    def jobs(n):
+        group = f"chain-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = [(i, "hot", "ON", i * 1000) for i in range(n)]
+        assert on_change(spark, rows, ttl=7_500, hot_rows=16) == brute.on_change(rows, 7_500)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(60), jobs(480)  # 16 and 121 chunks: 3 more levels of the tree
+    assert many - few < 60
