@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from emberkey.session import materialize
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 BLOCK_BYTES = 1 << 20
+FILTER_BITS = 1 << 26  # 8 MB
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: All but ASCII letters, digits and the bytes of other characters.
@@ -128,6 +130,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows
     return found.dropDuplicates(["doc_id"]).select("text", *columns)
 
 
+def probably_in(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that all values of the only (bigint) column of `keys` pass, and few others: a Bloom filter.
+
+    It keeps rows that can't find a partner out of the shuffle before an exact join. Its size is fixed, so it is safe to
+    send everywhere; beyond some ten million keys it lets ever more through, which costs shuffle, not rows.
+    """
+
+    def places(key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(FILTER_BITS)) for k in range(2)]
+
+    place = keys.select(F.explode(F.array(*places(F.col(keys.columns[0])))).alias("place"))
+    word = place.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
+    found = word.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    @F.pandas_udf("boolean")
+    def all_set(first: pd.Series, second: pd.Series) -> pd.Series:
+        a, b = first.to_numpy(), second.to_numpy()
+        return pd.Series((bits[a >> 6] >> (a & 63)) & (bits[b >> 6] >> (b & 63)) & 1 == 1)
+
+    return lambda key: all_set(*places(key))
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is the least node of its component.
 

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import TextBlock, arrow_rows, blocks, connected, materialize, mix64, prefix_hash, span_hash, utf8
+from emberkey.llm.common import TextBlock, arrow_rows, blocks, connected, materialize, mix64, prefix_hash, probably_in, span_hash, utf8
 
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 32, 4  # a pair at 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8
 PLACES = BANDS * ROWS
-CHUNKS = 64
+CHUNK = 64  # pairs of one text that a task verifies in a row
 SKETCH = 384  # places of the longer signatures that tell which pairs of a mixed bucket to verify
 ENOUGH = 271  # equal places wanted: at a likeness of 0.8 fewer come with a probability of about 3e-6
 BLOCK = 2048  # a larger bucket is compared block by block
@@ -134,10 +134,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lowest 16 bits of longer signatures."""
-    for rows in blocks(((n, utf8(t)) for n, t in arrow_rows(batches)), 1):
-        low = signatures(*bags([t for _, t in rows]), len(rows), SKETCH).view(np.uint64).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([r.tobytes() for r in low], pa.binary())], names=["node", "sketch"])
+    """The lowest 8 bits of longer signatures: places that differ look equal once in 256 times, those that are equal always do."""
+    for rows in blocks(((i, k, utf8(t)) for i, k, t in arrow_rows(batches)), 2):
+        low = signatures(*bags([t for _, _, t in rows]), len(rows), SKETCH).view(np.uint64).astype(np.uint8)
+        ids, keys = (pa.array([r[k] for r in rows], pa.int64()) for k in range(2))
+        yield pa.RecordBatch.from_arrays([ids, keys, pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "tkey", "sketch"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(key: tuple, held: list[tuple]) -> pa.RecordBatch:
         _, x, y = key
         mine, node, root, out = (np.array([r[k] for r in held]) for k in range(3, 7))
-        sketch = np.frombuffer(b"".join(r[7] for r in held), dtype=np.uint16).reshape(len(held), SKETCH)
+        sketch = np.frombuffer(b"".join(r[7] for r in held), dtype=np.uint8).reshape(len(held), SKETCH)
         a, b = [], []
         asks = np.flatnonzero(out)
         for at in range(0, len(asks), 16):
@@ -197,19 +198,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = materialize(banded.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    where = nodes.join(wanted, "node").select("node", F.col("at.tkey").alias("tkey"), F.col("at.doc_id").alias("doc_id"))
+    shared = materialize(shared, "shared")
+    # Most bands are shared with nobody, and most texts meet nobody: they stay where they are.
+    shares = probably_in(shared.select("bucket"))
+    members = materialize(banded.where(shares(F.col("bucket"))).join(shared, "bucket"), "members")
+    place = nodes.select("node", F.col("at.tkey").alias("tkey"), F.col("at.doc_id").alias("doc_id"))
     same = (F.col("d.tkey") == F.col("w.tkey")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = base.alias("d").join(materialize(where, "wanted").alias("w"), same).select("node", "text")
-    texts = materialize(texts, "texts")  # rows that repeat both id and text are here more than once, which does no harm
+
+    def found(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(node, tkey, doc_id) of the nodes in `some`, and the rows of documents that may be theirs, texts unmoved.
+
+        Rows that repeat both id and text are there more than once, which does no harm.
+        """
+        row = F.xxhash64("tkey", "doc_id")
+        wanted = materialize(place.join(some.select("node").distinct(), "node"), "wanted")
+        return wanted, base.where(probably_in(wanted.select(row.alias("row")))(row))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """`pairs` (a, b) is distinct; a's text is sent once to each of its chunks."""
-        pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)).cast("int"))
+        """`pairs` (a, b) is distinct; a's text is sent once to each chunk of its pairs."""
+        degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+        pairs = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
         heads = pairs.select("a", "chunk").distinct().select("a", "chunk", F.lit(True).alias("first"), F.col("a").alias("b"))
-        rows = heads.unionByName(pairs.withColumn("first", F.lit(False)))
-        rows = rows.join(texts.withColumnRenamed("node", "b"), "b").select("a", "chunk", "first", "b", "text")
+        rows = materialize(heads.unionByName(pairs.withColumn("first", F.lit(False))), "sends")
+        wanted, texts = found(rows.select(F.col("b").alias("node")))
+        rows = rows.join(wanted.withColumnRenamed("node", "b"), "b")
+        rows = texts.alias("d").join(rows.alias("w"), same).select("a", "chunk", "first", "b", "text")
         rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("first").desc())
         return materialize(rows.mapInArrow(_verify, "a long, b long").distinct(), "verified")
 
@@ -225,7 +238,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
     main = main.select("bucket", F.col("m.root").alias("main"))
     mixed = materialize(placed.join(main, "bucket"), "mixed")
-    sketches = texts.join(mixed.select("node").distinct(), "node").mapInArrow(_sketch, "node long, sketch binary")
+    wanted, texts = found(mixed)
+    sketches = texts.mapInArrow(_sketch, "doc_id long, tkey long, sketch binary").alias("d").join(wanted.alias("w"), same).select("node", "sketch")
     mixed = mixed.join(sizes.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket")
     many = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), many).cast("int")
