@@ -377,6 +377,7 @@ SQL_DUE = f"stamped AND expires_at_ms <= {O.JAN_31}"
 @query(
     "tbl3_expire_state",
     f"SELECT *, coalesce({SQL_DUE}, false) AS evicted FROM {O.COMPACTED}",
+    headline=True,
 )
 def tbl3(spark, sf):
     state = state_table.compact_changelog(T.changelog(spark, sf))
@@ -543,41 +544,6 @@ def tbl10(spark, sf):
     return state_table.state_census(state, meta, JAN_25)
 
 
-@query(
-    "tbl10_raw_census",
-    f"""SELECT (user_id % 4)::INTEGER AS partition,
-  count(*) FILTER (event_type <> 'view') AS stamped, count(*) FILTER (event_type = 'view') AS unstamped,
-  count(*) FILTER (event_type = 'error') AS double_wrapped,
-  count(*) FILTER (event_type = 'signup') AS never,
-  max(CASE WHEN event_type NOT IN ('view', 'signup') THEN timestamp END) AS latest_deadline
-  FROM {O.E} GROUP BY ALL""",
-)
-def tbl10_raw(spark, sf):
-    """Values as stored bytes: views without a stamp, signups never expire, errors stamped twice."""
-    stamp = F.unhex(F.lpad(F.hex("timestamp"), 16, "0"))
-    body = F.encode(F.concat(F.lit('{"status": "'), "event_type", F.lit('"}')), "utf-8")
-    kind = F.col("event_type")
-    raw = (
-        F.when(kind == "view", body)
-        .when(kind == "signup", F.concat(F.unhex(F.lit("F" * 16)), body))
-        .when(kind == "error", F.concat(stamp, stamp, body))
-        .otherwise(F.concat(stamp, body))
-    )
-    rows = events(spark, sf).select(
-        (F.col("user_id") % 4).cast("int").alias("partition"),
-        F.col("event_id").cast("string").alias("key"),
-        raw.alias("raw"),
-    )
-    decoded = state_table.decode_raw_state(rows)
-    return decoded.groupBy("partition").agg(
-        F.count_if("stamped").alias("stamped"),
-        F.count_if(~F.col("stamped")).alias("unstamped"),
-        F.count_if("double_wrapped").alias("double_wrapped"),
-        F.count_if(F.col("stamped") & F.col("expires_at_ms").isNull()).alias("never"),
-        F.max("expires_at_ms").alias("latest_deadline"),
-    )
-
-
 @query(
     "tbl11_migration_invariants",
     O.MIGRATION

@@ -204,32 +204,3 @@ def test_census_and_invariants(spark):
     assert {r["check"] for r in failed.collect()} == {
         "stamped", "unstamped", "decode_clean", "ttl_enabled", "migration_done", "backfilled"
     }
-
-
-def test_raw_bytes(spark):
-    body = b'{"status": "ON"}'
-    stamp = lambda ms: ms.to_bytes(8, "big", signed=True)
-    rows = [
-        ("legacy", body),
-        ("stamped", stamp(1234) + body),
-        ("never", stamp(-1) + body),
-        ("twice", stamp(1234) + stamp(99) + body),
-        ("zero", stamp(0) + body),
-        ("too_late", stamp(10**15) + body),
-        ("short", b"1234"),
-        ("__ttl__", stamp(1) + body),
-    ]
-    df = spark.createDataFrame(rows, "key string, raw binary")
-    got = {
-        r["key"]: (r["stamped"], r["expires_at_ms"], r["double_wrapped"])
-        for r in st.decode_raw_state(df).collect()
-    }
-    assert got == {
-        "legacy": (False, None, False),
-        "stamped": (True, 1234, False),
-        "never": (True, None, False),
-        "twice": (True, 1234, True),
-        "zero": (False, None, False),
-        "too_late": (False, None, False),
-        "short": (False, None, False),
-    }
