@@ -239,3 +239,13 @@ def test_signatures_estimate_weighted_likeness():
     doc, s, w = minhash.bags([a.encode(), b.encode()])
     sig = minhash.signatures(doc, s, w, 2, 4096)
     assert (sig[0] == sig[1]).mean() == pytest.approx(minhash.likeness(*bags), abs=0.04)
+
+
+def test_bloom_filter_keeps_every_key(spark):
+    from emberkey.llm.common import probably_in
+
+    rows = spark.range(20_000).selectExpr("xxhash64(id) AS k", "id")
+    kept = rows.where(probably_in(rows.where("id % 10 = 0").select("k"))(rows["k"]))
+    ids = {r["id"] for r in kept.collect()}
+    assert ids >= set(range(0, 20_000, 10)) and len(ids) < 2_100
+    assert rows.where(probably_in(rows.where("id < 0").select("k"))(rows["k"])).isEmpty()
