@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberkey.llm import ann, bpe, merkle, minhash, mixing, quality, suffix, toxicity, urlfilter, warc
+from emberkey.llm import ann, audit, bpe, centroids, merkle, minhash, mixing, packing, quality, suffix, toxicity, urlfilter, warc
 from emberkey.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 VOCABULARY = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -84,3 +85,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, capacity = read(spark, sf_dir, "documents"), 2048
+    pieces = packing.encode_pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, capacity)
+    return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_centroids"] = centroids.sql()
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_audit"] = audit.sql()
