@@ -90,7 +90,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, capacity = read(spark, sf_dir, "documents"), 2048
-    pieces = packing.encode_pieces(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, capacity)
+    pieces = packing.encode_pieces(docs, public_tokenizers.path(TOKENIZER), capacity)
     return packing.place(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
 
 

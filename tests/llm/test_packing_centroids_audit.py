@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tokenizers
 
 from emberkey.llm import audit, centroids, packing, queries
@@ -32,7 +33,7 @@ def plain():
 @pytest.fixture(scope="module")
 def encoder():
     with open(JSON, encoding="utf-8") as file:
-        return packing.Encoder(file.read(), public_tokenizers.PATTERN)
+        return packing.Encoder(file.read())
 
 
 def ids_of(raw):
@@ -97,10 +98,11 @@ def test_tightest_bin():
 
 def test_ids_equal_the_tokenizer(documents, encoder, plain):
     for text in [r[1] for r in documents] + ["", " ", "\n\n a  b\t", "<|endoftext|> x", "it's I'll 12a", "a" * 3000]:
-        assert ids_of(encoder.encode(text)) == plain(text)
+        assert ids_of(encoder.encode([text])[0]) == plain(text)
     for at in [*range(0x3100), *range(0xD7A0, 0xD800), *range(0xFDF0, 0x10100), *range(0x1F300, 0x1F700)]:
         text = f"a{chr(at)} b{chr(at)}{chr(at)}c 1{chr(at)}"
-        assert ids_of(encoder.encode(text)) == plain(text), hex(at)
+        assert ids_of(encoder.encode([text])[0]) == plain(text), hex(at)
+        assert packing.split(text) == regex.findall(public_tokenizers.PATTERN, text), hex(at)
 
 
 def test_parts_of_long_texts_keep_the_ids(encoder, plain):
@@ -110,6 +112,7 @@ def test_parts_of_long_texts_keep_the_ids(encoder, plain):
     assert len(cut) > 20 and "".join(cut) == text
     assert [i for p in cut for i in plain(p)] == plain(text)
     assert packing.parts("x" * 500, 100) == ["x" * 500]
+    assert [ids_of(i) for i in encoder.encode([text, "", text[:50]])] == [plain(text), [], plain(text[:50])]
 
 
 def check_packing(rows, texts, plain, capacity=2048):
@@ -141,10 +144,10 @@ def test_packing_query(spark, documents, plain):
 
 
 def test_packing_odd_input(spark, odd, none, plain):
-    packed = packing.pack_documents(odd, JSON, public_tokenizers.PATTERN, 64)
+    packed = packing.pack_documents(odd, JSON, 64)
     rows = [(r["doc_id"], r["piece"], r["start"], r["length"], zlib.crc32(r["ids"]), r["sequence_id"], r["offset"]) for r in packed.collect()]
     check_packing(rows, [(r["doc_id"], r["text"]) for r in odd.collect()], plain, 64)
-    assert packing.pack_documents(none, JSON, public_tokenizers.PATTERN).count() == 0
+    assert packing.pack_documents(none, JSON).count() == 0
     whole = {r["sequence_id"]: r for r in packing.sequences(packed).collect()}
     for r in packed.collect():
         assert whole[r["sequence_id"]]["ids"][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == bytes(r["ids"])
