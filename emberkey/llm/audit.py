@@ -50,14 +50,14 @@ def repeats(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
     A left-semi join on digest, exact text and smaller id. Its right side is one row for each distinct text, with the
     least id, aggregated before the shuffle, so a text with any number of copies meets one row. Texts whose digest only one id has stay out of
-    the shuffle (a Bloom filter, which lets some through and holds none back). On the left, the copies of a
-    hot text are rows of an ordinary sort-merge join, whose large partitions AQE splits.
+    the shuffle (a Bloom filter, which lets some through and holds none back). Both sides are written tables, so the copies of a
+    hot text are plain rows of a sort-merge join, whose large partitions AQE splits.
     """
     shared = facts.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     maybe = probably_in(materialize(shared.select(F.xxhash64("digest").alias("key")), "shared"))
     texts = _texts(docs).where(F.col("doc_id").isNotNull())
-    texts = texts.where(maybe(F.xxhash64("digest")))
-    least = texts.groupBy("digest", "text").agg(F.min("doc_id").alias("least"))
+    texts = materialize(texts.where(maybe(F.xxhash64("digest"))), "copies")
+    least = materialize(texts.groupBy("digest", "text").agg(F.min("doc_id").alias("least")), "texts")
     left, right = texts.alias("l"), least.alias("r")
     smaller = (F.col("l.digest") == F.col("r.digest")) & (F.col("l.text") == F.col("r.text")) & (F.col("r.least") < F.col("l.doc_id"))
     return left.join(right, smaller, "left_semi").select("doc_id", "digest", "part")
