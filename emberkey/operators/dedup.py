@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberkey.functions.keys import split_key
@@ -122,27 +124,6 @@ def _mark_segments(
     return lane.last(rows, "__seg", F.when(F.col("__start"), F.struct(*origin)))
 
 
-def _in_order(items: Column, rows: DataFrame) -> Column:
-    if "map<" not in rows.schema.simpleString():
-        return F.sort_array(items)  # `at` comes first and is unique
-    return F.array_sort(  # maps have no order of their own
-        items, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-    )
-
-
-# Rows folded in one go; a fold costs the square of its emissions, so long segments go in steps.
-FOLD_STEP = 1024
-
-
-def _advance(deadline: Column, row: Column, ttl_ms: int) -> Column:
-    """Deadline of the stored entry after `row` was handled."""
-    return F.when(~row["null"] & (row["c"] >= deadline), row["own"] + ttl_ms).otherwise(deadline)
-
-
-def _emits(deadline: Column, row: Column) -> Column:
-    return F.when(row["null"], row["c"] < deadline).otherwise(row["c"] >= deadline)
-
-
 def _fold_segments(
     rows: DataFrame,
     lane: Lane,
@@ -151,62 +132,67 @@ def _fold_segments(
     ttl_ms: int,
     columns: list[str],
 ) -> DataFrame:
-    """Rows of `rows` that find the segment's entry expired (or, for nulls, live)."""
-    item = F.struct(
-        F.struct(*lane.order).alias("at"),
-        F.col("__clock").alias("c"),
-        F.col(ts).alias("own"),
-        F.col(value).isNull().alias("null"),
-        F.struct(*columns).alias("row"),
-    )
+    """Rows of `rows` that find the segment's entry expired (or, for nulls, live).
+
+    A segment's rows pass sorted through one task in Arrow batches, as they are, and only the deadline is
+    kept between batches, so neither wide rows nor long segments take memory.
+    """
     scope = [*lane.scope, "__seg"]
-    groups = rows.groupBy(*scope).agg(_in_order(F.collect_list(item), rows).alias("__items"))
-    deadline = F.col("__seg.own") + ttl_ms
+    rows = rows.withColumn("__deadline", F.col("__seg.own") + ttl_ms)
     if lane.chunked:
         known = carried_deadlines(rows, lane, ts, ttl_ms, value)
         if known is not None:
-            groups = null_safe_join(groups, known, [*lane.keys, "__seg", CHUNK], "left")
-            deadline = F.coalesce(F.col("__known"), deadline)
-    groups = groups.withColumn("__d", deadline)
-
-    def steps_of(items: Column) -> Column:
-        last = F.floor((F.size(items) - 1) / FOLD_STEP).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), last), lambda i: F.slice(items, i * FOLD_STEP + 1, FOLD_STEP)
-        )
-
-    def run(items: Column, first: Column) -> Column:
-        return F.aggregate(items, first, lambda d, row: _advance(d, row, ttl_ms))
-
-    def emitted(items: Column, first: Column) -> Column:
-        nothing = F.filter(items, lambda _: F.lit(False))
-        return F.aggregate(
-            items,
-            F.struct(first.alias("d"), nothing.alias("out")),
-            lambda acc, row: F.struct(
-                _advance(acc["d"], row, ttl_ms).alias("d"),
-                F.when(_emits(acc["d"], row), F.array_append(acc["out"], row))
-                .otherwise(acc["out"])
-                .alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
-    groups = groups.withColumn("__steps", steps_of(F.col("__items")))
-    firsts = F.aggregate(
-        "__steps",
-        F.array("__d"),
-        lambda acc, items: F.array_append(acc, run(items, F.element_at(acc, -1))),
-    )
-    # One deadline per step plus the final one, which belongs to no step.
-    step = F.arrays_zip(
-        F.col("__steps").alias("items"), F.slice(firsts, 1, F.size("__steps")).alias("d")
-    )
-    return (
-        groups.select(F.explode(step).alias("__s"))
-        .select(F.explode(emitted(F.col("__s.items"), F.col("__s.d"))).alias("__hit"))
-        .select("__hit.row.*")
+            rows = null_safe_join(rows, known, [*lane.keys, "__seg", CHUNK], "left")
+            rows = rows.withColumn("__deadline", F.coalesce("__known", "__deadline"))
+    work = ["__new", "__null", "__clock", "__own", "__deadline"]
+    clock = F.col("__clock").cast("bigint")
+    rows = rows.withColumns(
+        {"__null": F.col(value).isNull(), "__clock": clock, "__own": F.coalesce(F.col(ts).cast("bigint"), clock)}
     )
+    rows = rows.filter(F.col("__clock").isNotNull() & F.col("__deadline").isNotNull())  # others never emit
+    # This window also puts the rows of a segment next to each other, in order.
+    rows = rows.withColumn("__new", F.row_number().over(Window.partitionBy(*scope).orderBy(*lane.order)) == 1)
+    wide = rows.select(*[F.col(c) for c in columns], *work)
+    schema = wide.select(*columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deadline = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new, null, clock, own, given = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in work)
+            cuts = np.flatnonzero(new)
+            hit = np.zeros(len(new), dtype=bool)
+            for a, b in zip(np.append(0, cuts), np.append(cuts, len(new)), strict=True):
+                if a == b:
+                    continue
+                if new[a]:
+                    deadline = int(given[a])
+                hit[a:b], deadline = hops(clock[a:b], own[a:b], null[a:b], deadline, ttl_ms)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(columns)], names=columns).filter(pa.array(hit))
+
+    return wide.mapInArrow(run, schema)
+
+
+def hops(clock: np.ndarray, own: np.ndarray, null: np.ndarray, deadline: int, ttl_ms: int) -> tuple[np.ndarray, int]:
+    """Which rows of one segment emit, and the deadline after them.
+
+    The clock never falls, so the next row that finds the entry expired is found by bisection.
+    """
+    hit = np.zeros(len(clock), dtype=bool)
+    full = np.flatnonzero(~null)
+    at = 0
+    while at < len(clock):
+        expired = int(np.searchsorted(clock[at:], deadline)) + at
+        hit[at:expired] = null[at:expired]  # nulls pass while the entry is live
+        k = int(np.searchsorted(full, expired))
+        if k == len(full):
+            return hit, deadline
+        at = int(full[k])
+        hit[at] = True
+        deadline = int(own[at]) + ttl_ms
+        at += 1
+    return hit, deadline
 
 
 def first_seen(df: DataFrame, key: Cols, order: Cols) -> DataFrame:

@@ -16,6 +16,13 @@ from emberkey.operators.dedup import Cols, Duration
 from emberkey.operators.ordered import CHUNK, Lane, as_list, over_lanes
 from emberkey.session import millis
 
+PLAIN = (str, bool, int, float, type(None))
+
+
+def _as_json(value: Any) -> Any:
+    return value if type(value) in PLAIN else json.loads(json.dumps(value))
+
+
 # (row, key, timestamp in ms, state) -> rows to emit
 Callback = Callable[[dict, tuple, int, "State"], Iterable[dict]]
 
@@ -38,11 +45,15 @@ class State:
         value, deadline = self.entries.get(name, (None, None))
         if name not in self.entries or (deadline is not None and self.clock >= deadline):
             return default
-        return value
+        # A copy: what a callback does to it counts once it is set.
+        return _as_json(value)
 
     def set(self, name: str, value: Any, ttl: Duration | None = None) -> None:
-        """Store JSON-like `value`; without `ttl` it never expires."""
-        self.entries[name] = [value, None if ttl is None else self.now + millis(ttl)]
+        """Store JSON-like `value`; without `ttl` it never expires.
+
+        Kept is what JSON makes of it (keys of objects are text, tuples are lists), in batch as in streams.
+        """
+        self.entries[name] = [_as_json(value), None if ttl is None else self.now + millis(ttl)]
 
     def delete(self, name: str) -> None:
         self.entries.pop(name, None)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberkey.functions import keys as K
 from emberkey.functions import markers as M
-from emberkey.operators import counters, dedup, enrich, lake, process, progress, state_table
+from emberkey.operators import counters, dedup, enrich, lake, lake_catalog, lake_log, process, progress, state_table
+from emberkey.operators.pruning import col
 from emberkey.plans import oracle_sql as O
 from emberkey.plans import tables as T
 from emberkey.plans.tables import DAY, HOUR, JAN_25, JAN_31, events, event_stream
@@ -566,6 +569,59 @@ def tbl11(spark, sf):
     return state_table.migration_invariants(census, store[0].count())
 
 
+# ---- restored state into a live stream ----------------------------------------------------------
+
+
+def sql_seeded(seed: str, ctes: str = "") -> str:
+    """Events from Jan 20 on, change-only with a TTL of a day, where `seed` (key, status, expires_at_ms) is stored before."""
+    live = "CASE WHEN r.timestamp < s.deadline THEN s.stored END"
+    differs = f"({live}) IS DISTINCT FROM r.v"
+    return f"""WITH RECURSIVE {ctes} r AS (SELECT *, event_type AS v, {O.KEY} AS key,
+  row_number() OVER (PARTITION BY user_id ORDER BY timestamp, event_id) AS rn FROM {O.E} WHERE timestamp >= {O.JAN_20}),
+s AS (SELECT u.key, 0::BIGINT AS rn, q.status AS stored, coalesce(q.expires_at_ms, 9000000000000000000) AS deadline,
+    false AS emit FROM (SELECT DISTINCT key FROM r) u LEFT JOIN ({seed}) q USING (key)
+  UNION ALL SELECT r.key, r.rn, CASE WHEN {differs} THEN r.v ELSE s.stored END,
+    CASE WHEN {differs} THEN r.timestamp + {DAY} ELSE s.deadline END, {differs}
+  FROM s JOIN r ON r.key = s.key AND r.rn = s.rn + 1)
+SELECT {COLS} FROM r JOIN s USING (key, rn) WHERE s.emit"""
+
+
+def _seeded(spark, sf, state: DataFrame) -> DataFrame:
+    ident = {"user_id": F.expr("cast(substring(key, 7) as bigint)")}
+    initial = processor.seed_entries(state, ident, "entry", F.col("value.status"))
+    rows = event_stream(spark, sf).select(*EVENT).filter(F.col("timestamp") >= T.JAN_20)
+    step = callbacks.on_change("event_type", DAY)
+    out = processor.keyed_process_stream(
+        rows, "user_id", step, EVENT_DDL, "timestamp", ["timestamp", "event_id"], initial=initial
+    )
+    return runner.run_available(out)
+
+
+SQL_RESTORED = f"""SELECT key, status, expires_at_ms FROM (
+  SELECT *, row_number() OVER (PARTITION BY partition, key ORDER BY "offset" DESC) AS n
+  FROM {O.CHANGELOG} WHERE ts_ms < {O.JAN_20}) WHERE n = 1 AND status IS NOT NULL
+  AND (expires_at_ms IS NULL OR expires_at_ms > {O.JAN_20})"""
+
+
+@query("tbl2_restore_into_stream", sql_seeded(SQL_RESTORED))
+def tbl2_stream(spark, sf):
+    """Stamped, legacy and never-expiring entries restored from the log as of Jan 20; the stream goes on from there."""
+    log = T.changelog(spark, sf).filter(F.col("ts_ms") < T.JAN_20)
+    return _seeded(spark, sf, state_table.restore_state(log, T.JAN_20))
+
+
+@query(
+    "tbl7_resume_into_stream",
+    sql_seeded(
+        f"""SELECT key, status, CASE WHEN stamped THEN expires_at_ms ELSE high + {3 * DAY} END AS expires_at_ms FROM half""",
+        SQL_HALF.strip().removeprefix("WITH RECURSIVE").removeprefix("WITH") + ",",
+    ),
+)
+def tbl7_stream(spark, sf):
+    """A migration cut short is finished, and the stream goes on with its deadlines."""
+    return _seeded(spark, sf, state_table.resume_migration(*_interrupted(spark, sf), window=3 * DAY)[0])
+
+
 # ---- lake ---------------------------------------------------------------------------------------
 
 LAYOUT = lake.Layout.parse("year,month,day,event_type,~user_id")
@@ -687,13 +743,180 @@ def idx3(spark, sf):
 def cmp1(spark, sf):
     path = fresh_path(spark, "lake")
     rows = events(spark, sf)
-    cuts = [F.col("timestamp") < T.JAN_20, F.col("timestamp") >= T.JAN_20]
-    for cut in cuts:
-        lake.write_lake(rows.filter(cut), path, LAYOUT, "timestamp")
+    for k in range(2):
+        lake.write_lake(rows.filter(F.col("event_id") % 2 == k), path, LAYOUT, "timestamp")
     lake.compact(spark, path, LAYOUT)
     return lake.read_lake(spark, path).select(*LAKE_COLS)
 
 
+def _halves(spark, sf, path: str, **options) -> None:
+    """Two commits with files in every folder."""
+    rows = events(spark, sf)
+    for k, name in enumerate("ab"):
+        part = rows.filter(F.col("event_id") % 2 == k)
+        lake.write_lake(part, path, LAYOUT, "timestamp", commit=name, **options)
+
+
+@query("cmp1_one_folder", SQL_LAKE)
+def cmp1_folder(spark, sf):
+    """Four commits; one partition is compacted, files of others stay; then replays of all commits, which add nothing."""
+    path, rows = fresh_path(spark, "lake"), events(spark, sf)
+    for turn in range(2):
+        for k in range(4):
+            part = rows.filter(F.col("event_id") % 4 == k)
+            lake.write_lake(part, path, LAYOUT, "timestamp", commit=f"batch-{k}")
+        if turn == 0:
+            where = (F.col("day") == "09") & (F.col("event_type") == "click")
+            lake.compact(spark, path, LAYOUT, where=where)
+    return lake.read_lake(spark, path).select(*LAKE_COLS)
+
+
+@query(
+    "cmp1_files_by_folder",
+    f"""SELECT day, event_type, CASE WHEN day = '09' AND event_type = 'click' THEN 1
+  ELSE count(DISTINCT event_id % 4) END AS files, count(*) AS rows FROM {O.LAKE} GROUP BY day, event_type""",
+)
+def cmp1_files(spark, sf):
+    path, rows = fresh_path(spark, "lake"), events(spark, sf)
+    for k in range(4):
+        part = rows.filter(F.col("event_id") % 4 == k)
+        lake.write_lake(part, path, LAYOUT, "timestamp", max_workers=1)
+    lake.compact(spark, path, LAYOUT, where=(F.col("day") == "09") & (F.col("event_type") == "click"))
+    part = F.col("partition_values")
+    return lake.read_manifest(spark, path).groupBy(part["day"].alias("day"), part["event_type"].alias("event_type")).agg(
+        F.count("file_path").alias("files"), F.sum("rows").alias("rows")
+    )
+
+
+@query("cmp1_two_at_once", SQL_LAKE)
+def cmp1_race(spark, sf):
+    """Two compactions of the same files, both published; readers count the first only."""
+    path = fresh_path(spark, "lake")
+    _halves(spark, sf, path)
+    for row in [lake.prepare_compaction(spark, path, LAYOUT) for _ in range(2)]:
+        lake_log.publish(spark, path, row)
+    lake_log.fold(spark, path)
+    return lake.read_lake(spark, path).select(*LAKE_COLS)
+
+
+@query("snk3_crash_while_publishing", SQL_LAKE)
+def snk3_crash(spark, sf):
+    """A writer dies with its files written, its row in draft and a folder of the row's name in place; then the replay."""
+    path = fresh_path(spark, "lake")
+    rows = events(spark, sf)
+    lake.write_lake(rows.filter("event_id % 2 = 0"), path, LAYOUT, "timestamp", commit="a")
+    dated = K.calendar(rows.filter("event_id % 2 = 1"), "timestamp").drop("hour")
+    lake._write_commit(dated, path, LAYOUT, "timestamp", "b.dead", None, 5_000_000)
+    rows.limit(0).write.parquet(f"{path}/_commits/b/_temporary")
+    lake_log.put_once(spark, f"{path}/_commits/.draft", '{"commit": "b", "se')
+    _halves(spark, sf, path)
+    return lake.read_lake(spark, path).select(*LAKE_COLS)
+
+
+@query("snk3_two_checkpoints", f"SELECT day, event_type, 2 * count(*) AS n FROM {O.LAKE} GROUP BY day, event_type")
+def snk3_two(spark, sf):
+    """Two streams with batch numbers of their own into one table; each row of both counts, and a restart of one adds nothing."""
+    path, first, second = (fresh_path(spark, n) for n in ("lake", "lake-checkpoint", "lake-checkpoint"))
+    for checkpoint in (first, second, first):
+        sink = event_stream(spark, sf).writeStream.foreachBatch(lake.lake_sink(path, LAYOUT, "timestamp"))
+        runner.await_end(sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return lake.read_lake(spark, path).groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk4_max_workers", f"SELECT count(*) AS rows, true AS within_three FROM {O.E}")
+def snk4(spark, sf):
+    path = _lake(spark, sf, max_workers=3)
+    files = lake.read_manifest(spark, path)
+    task = F.regexp_extract("file_path", r"/part-(\d+)-", 1)
+    return files.agg(F.sum("rows").alias("rows"), (F.count_distinct(task) <= 3).alias("within_three"))
+
+
+@query(
+    "lake4_validate_layout",
+    f"""SELECT layout, accepted, CASE WHEN accepted THEN 2 ELSE 1 END * (SELECT count(*) FROM {O.E}) AS rows FROM (VALUES
+  ('year,month,day,event_type,~user_id', true), ('year,month,day,event_type', false), ('event_type,~user_id', false),
+  ('year,month,day,~user_id', false), ('year,month,day,event_type,user_id', false)) AS v(layout, accepted)""",
+)
+def lake4(spark, sf):
+    """Each layout against a table of the first: rows there after a write that is taken or refused."""
+    names = ["year,month,day,event_type,~user_id", "year,month,day,event_type", "event_type,~user_id"]
+    names += ["year,month,day,~user_id", "year,month,day,event_type,user_id"]
+    out = []
+    for name in names:
+        path, accepted = _lake(spark, sf), True
+        try:
+            lake.write_lake(events(spark, sf), path, lake.Layout.parse(name), "timestamp")
+        except lake.LayoutMismatch:
+            accepted = False
+        total = lake.read_lake(spark, path).agg(F.count(F.lit(1)).alias("rows"))
+        out.append(total.select(F.lit(name).alias("layout"), F.lit(accepted).alias("accepted"), "rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    "lake5_lake6_table_by_name",
+    f"""SELECT day, event_type, count(*) AS n, max(event_id) AS last_id, 'year,month,day,event_type,user_id' AS spec,
+  'user_id' AS virtual, 'event_id' AS sorted_by, 'timestamp' AS timed_by FROM {O.LAKE}
+  WHERE event_type <> 'error' GROUP BY day, event_type""",
+)
+def lake6(spark, sf):
+    """Registered on the first write, followed over a second one and a compaction; read by name."""
+    path, name = fresh_path(spark, "lake"), f"ttl_events_{uuid.uuid4().hex}"
+    _halves(spark, sf, path, sort_col="event_id", register_as=name)
+    lake.compact(spark, path, LAYOUT, register_as=name)
+    known = lake_catalog.properties(spark, name)
+    rows = spark.sql(
+        f"SELECT day, event_type, count(*) AS n, max(event_id) AS last_id FROM {name} WHERE event_type <> 'error' GROUP BY ALL"
+    )
+    return rows.withColumns(
+        {
+            "spec": F.lit(",".join(known["partition_spec"])),
+            "virtual": F.lit(",".join(known["virtual_partitions"])),
+            "sorted_by": F.lit(known["sort_column"]),
+            "timed_by": F.lit(known["timestamp_column"]),
+        }
+    )
+
+
+@query(
+    "stat3_predicates",
+    SQL_LAKE
+    + f""" WHERE (timestamp >= {O.JAN_20} AND NOT (event_type IN ('view', 'error') OR value > 50))
+  OR (value IS NULL AND day = '05') OR event_id IN (3, 77, 5000000)""",
+)
+def stat3_tree(spark, sf):
+    late = (col("timestamp") >= T.JAN_20) & ~(col("event_type").isin("view", "error") | (col("value") > 50.0))
+    some = late | (col("value").is_null() & (col("day") == "05")) | col("event_id").isin(3, 77, 5000000)
+    return lake.read_where(spark, _lake(spark, sf), some).select(*LAKE_COLS)
+
+
+@query(
+    "idx2_point_lookup",
+    SQL_LAKE + " WHERE user_id = (SELECT max(user_id) FROM events) AND event_type <> 'view'",
+)
+def idx2_point(spark, sf):
+    """One id through the merged index, a commit later than it and a compacted partition."""
+    path = fresh_path(spark, "lake")
+    rows = events(spark, sf)
+    lake.write_lake(rows.filter("event_id % 2 = 0"), path, LAYOUT, "timestamp")
+    lake.reindex(spark, path, LAYOUT)
+    lake.write_lake(rows.filter("event_id % 2 = 1"), path, LAYOUT, "timestamp")
+    lake.compact(spark, path, LAYOUT, where=F.col("day") == "20")
+    last = rows.agg(F.max("user_id")).first()[0]
+    found = lake.read_by_id(spark, path, LAYOUT, F.col("event_type") != "view", user_id=last)
+    return found.select(*LAKE_COLS)
+
+
+@query("idx3_reindex_folder", SQL["idx1_virtual_index"])
+def idx3_folder(spark, sf):
+    path = fresh_path(spark, "lake")
+    _halves(spark, sf, path)
+    lake.reindex(spark, path, LAYOUT)
+    lake.reindex(spark, path, LAYOUT, rebuild=True, where=F.col("day") == "09")
+    index = lake.read_index(spark, path, LAYOUT)
+    return index.select("user_id", "year", "month", "day", "event_type").distinct()
+
+
 @query(
     "flt3_partition_filter",
     SQL_LAKE + " WHERE month = '01' AND day = '09' AND event_type = 'click'",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,8 @@ from emberkey.streaming.callbacks import cached_lookup
 
 # Entries as JSON with their deadlines, and the key's event-time clock.
 STATE_SCHEMA = "entries string, clock_ms bigint"
+# One entry to start with: its name, the value as JSON {"v": ...}, and the deadline as text or null.
+SEED = ["__entry", "__value", "__deadline"]
 
 
 def _plain(value: Any, whole: bool) -> Any:
@@ -41,6 +44,23 @@ class CallbackProcessor(StatefulProcessor):
         self.handle = handle
         self.store = handle.getValueState("state", STATE_SCHEMA)
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        """One row per entry. The event-time clock starts with the key's first new record."""
+        state = State()
+        for name, value, deadline in zip(*(initialState[c] for c in SEED), strict=True):
+            known = _plain(deadline, False)
+            state.entries[name] = [json.loads(value)["v"], None if known is None else int(known)]
+        self.store.update((state.dumps(), None))
+        self._watch(state)
+
+    def _watch(self, state: State) -> None:
+        if not self.evict:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if (deadline := state.last_deadline()) is not None:
+            self.handle.registerTimer(deadline)
+
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
@@ -50,18 +70,14 @@ class CallbackProcessor(StatefulProcessor):
             # By position: Spark hands over names that are no identifiers, as `__key`, as `_1`.
             for row in pdf.itertuples(index=False, name=None):
                 batch.append({c: _plain(v, c in self.whole) for c, v in zip(self.columns, row)})
-        batch.sort(key=lambda row: [row[c] for c in self.order])
+        batch.sort(key=lambda row: [(row[c] is not None, row[c]) for c in self.order])  # nulls first
         state = State(*(self.store.get() or (None, None)))
         out: list[dict] = []
         for row in batch:
             when = int(row[self.ts])
             out.extend(self.fn(row, tuple(key), when, state.at(when)) or ())
         self.store.update((state.dumps(), state.clock))
-        if self.evict:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if (deadline := state.last_deadline()) is not None:
-                self.handle.registerTimer(deadline)
+        self._watch(state)
         if out:
             yield self._frame(out)
 
@@ -89,6 +105,7 @@ def keyed_process_stream(
     order: Cols,
     eviction: str = "none",
     late_tolerance: Duration | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """`fn(row, key, timestamp, state)` over a stream; the same callback runs in `keyed_process`.
 
@@ -96,6 +113,7 @@ def keyed_process_stream(
     ``eviction="none"`` takes late rows whatever their age, and keeps expired entries in the store.
     ``eviction="event_time"`` deletes a key once its last entry is past its deadline by
     `late_tolerance`; rows later than that are dropped, results for other rows stay the same.
+    `initial` (see `seed_entries`) is the state to start with; a checkpoint that has state keeps its own.
     """
     keys, order = as_list(key), as_list(order)
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -115,7 +133,28 @@ def keyed_process_stream(
     whole = [f.name for f in given.fields if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
     df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole})
     return df.groupBy(*keys).transformWithStateInPandas(
-        processor, schema, "append", "EventTime" if evict else "None"
+        processor,
+        schema,
+        "append",
+        "EventTime" if evict else "None",
+        initialState=None if initial is None else initial.groupBy(*keys),
+    )
+
+
+def seed_entries(state: DataFrame, keys: dict[str, Column], entry: str, value: Column) -> DataFrame:
+    """Rows of a state table (see `state_table`) as entries that a stream starts with.
+
+    `keys` are the stream's key columns made from the state's, `value` is what the callback keeps under `entry`.
+    Legacy rows and rows without a deadline never expire; deadlines stay those of the table.
+    Several entries of a key are the union of several calls.
+    """
+    held = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
+    deadline = F.when(F.col("stamped"), F.col("expires_at_ms")).cast("string")
+    return state.select(
+        *[c.alias(k) for k, c in keys.items()],
+        F.lit(entry).alias("__entry"),
+        held.alias("__value"),
+        deadline.alias("__deadline"),
     )
 
 

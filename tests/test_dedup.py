@@ -1,9 +1,13 @@
 """Deduplication: boundaries by hand, hot keys cut in chunks, nulls, arrival order."""
 
+import itertools
+import random
 from datetime import timedelta
 
 import brute
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberkey.operators import dedup
 
@@ -180,3 +184,33 @@ def test_jobs_of_a_chain_do_not_grow_with_its_chunks(spark):
 
     few, many = jobs(60), jobs(480)  # 16 and 121 chunks: 3 more levels of the tree
     assert many - few < 60
+
+
+def test_hops_are_the_row_by_row_rule():
+    rng = random.Random(8)
+    for _ in range(300):
+        n, ttl = rng.randint(1, 40), rng.randint(1, 9)
+        own = [rng.randint(0, 60) for _ in range(n)]
+        clock = list(itertools.accumulate(own, max))
+        null = [rng.random() < 0.3 for _ in range(n)]
+        deadline = start = rng.randint(0, 30)
+        want = []
+        for c, o, missing in zip(clock, own, null):
+            want.append(c < deadline if missing else c >= deadline)
+            if not missing and c >= deadline:
+                deadline = o + ttl
+        cut = rng.randint(0, n)
+        got, at = [], start
+        for a, b in ((0, cut), (cut, n)):  # as it comes in two batches
+            hit, at = dedup.hops(np.array(clock[a:b], dtype=np.int64), np.array(own[a:b], dtype=np.int64), np.array(null[a:b], dtype=bool), at, ttl)
+            got += hit.tolist()
+        assert got == want and at == deadline
+
+
+def test_long_segments_of_wide_rows(spark):
+    """One key, one value, a kilobyte a row: the fold keeps no rows."""
+    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.lit("ON").alias("status"), (F.col("id") * 10).alias("ts"), "id", F.repeat(F.lit("x"), 1000).alias("pad"))
+    got = dedup.dedup_on_change_ttl(rows, "k", "status", "ts", 1000, "id")
+    plan = got._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    assert sorted(r["ts"] for r in got.select("ts", "pad").collect()) == list(range(0, 200_000, 1000))
