@@ -31,6 +31,9 @@ HANDOVER_MARKERS = {
 ATTEMPT_OF_MAX = r"\(attempt (\d+)/\d+\)"
 ATTEMPT_DEPTH = r"Opening rocksdb partition on .* attempt=(\d+)"
 
+# A first attempt: whoever opens has started anew.
+FIRST_ATTEMPT = r"Opening rocksdb partition on .* attempt=1$"
+
 # Table options in a store's own log, and the values that betray dropped options.
 CAPACITY = r"capacity\s+:\s+(\d+)"
 FILTER_POLICY = r"filter_policy:\s*(\S+)"

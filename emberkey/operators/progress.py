@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberkey.functions import markers as M
 from emberkey.operators.carry import null_safe_join
 from emberkey.operators.enrich import latest_before
+from emberkey.operators.ordered import Lane, over_lanes
 
 HOUR_MS = 3_600_000
 
@@ -255,3 +256,50 @@ def cycle_criteria(
         .when(F.col("degraded_seen"), "degraded")
         .otherwise("inconclusive"),
     ).drop("__unseen")
+
+
+def lock_restarts(lines: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per deployment and cycle, how often somebody started anew right after failing to get a lock.
+
+    Of the lines that tell of a lock not got or of a first attempt to open, in order of time (at one time failures first), it counts the
+    first attempts that follow a failure. A first attempt after another one is the next partition.
+    """
+    line = F.col("line")
+    started = F.when(line.rlike(M.HANDOVER_MARKERS["lock_retry"]), 0).when(line.rlike(M.FIRST_ATTEMPT), 1)
+    told = assign_cycles(lines.withColumn("__started", started).filter("__started is not null"), windows)
+    at = ["deployment", "cycle"]
+
+    def follow(rows: DataFrame, lane: Lane) -> DataFrame:
+        return lane.previous(rows, "__prev", {"started": F.col("__started")})
+
+    rows = over_lanes(told.select(*at, "ts_ms", "__started"), at, ["ts_ms", "__started"], follow)
+    again = (F.col("__started") == 1) & (F.col("__prev.started") == 0)
+    counted = rows.groupBy(*at).agg(F.count_if(again).alias("lock_restarts"))
+    out = null_safe_join(windows.select(*at), counted, at, "left")
+    return out.withColumn("lock_restarts", F.coalesce("lock_restarts", F.lit(0)))
+
+
+def all_criteria(
+    report: DataFrame, restarts: DataFrame, feature: list[str], loop: int = 2, **options
+) -> DataFrame:
+    """`cycle_criteria` with what restarts and the build's own marker say.
+
+    `no_crash_loop`: no restart in any cycle; `crash_loop_seen`: at least `loop` in one, which makes a deployment
+    that isn't in `feature` degraded; `build_as_expected`: a fast revoke was logged if, and only if, the deployment is in `feature`.
+    A feature deployment passes only without restarts. One of the others with the wrong build is `inconclusive`, whatever it shows.
+    """
+    seen = restarts.groupBy("deployment").agg(
+        F.bool_and(F.col("lock_restarts") == 0).alias("no_crash_loop"),
+        F.bool_or(F.col("lock_restarts") >= loop).alias("crash_loop_seen"),
+    )
+    rows = null_safe_join(cycle_criteria(report, feature, **options), seen, ["deployment"], "left")
+    ours = F.col("deployment").isin(feature)
+    rows = rows.withColumn("build_as_expected", F.col("fast_revoke_present") == ours)
+    verdict = (
+        F.when(ours & (F.col("verdict") != "fail") & ~F.col("no_crash_loop"), "fail")
+        .when(ours, F.col("verdict"))
+        .when(~F.col("build_as_expected"), "inconclusive")
+        .when(F.col("crash_loop_seen"), "degraded")
+        .otherwise(F.col("verdict"))
+    )
+    return rows.withColumn("verdict", verdict)

@@ -18,7 +18,7 @@ from emberkey.plans import tables as T
 from emberkey.plans.tables import DAY, HOUR, JAN_25, JAN_31, events, event_stream
 from emberkey.session import fresh_path
 from emberkey.sources import topics
-from emberkey.streaming import callbacks, processor, runner
+from emberkey.streaming import callbacks, processor, reporting, runner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1250,3 +1250,104 @@ SELECT *, CASE WHEN deployment = 'feature' THEN CASE WHEN bounded_lock_retries A
 )
 def log9(spark, sf):
     return progress.cycle_criteria(progress.cycle_report(*T.churn(spark, sf)), ["feature"])
+
+
+@query(
+    "log9_all_criteria",
+    O.CHURN
+    + f""", told AS (SELECT w.deployment, w.cycle, l.ts_ms, CASE WHEN line LIKE '%cannot acquire a lock%' THEN 0 ELSE 1 END AS started
+  FROM lines l JOIN windows w ON l.deployment = w.deployment AND l.ts_ms >= w.start_ms AND l.ts_ms < w.end_ms
+  WHERE line LIKE '%cannot acquire a lock%' OR regexp_matches(line, '{M.FIRST_ATTEMPT}')),
+again AS (SELECT deployment, cycle, count(*) FILTER (started = 1 AND p = 0) AS n FROM (SELECT *, lag(started) OVER (
+  PARTITION BY deployment, cycle ORDER BY ts_ms, started) AS p FROM told) GROUP BY ALL),
+loops AS (SELECT w.deployment, bool_and(coalesce(n, 0) = 0) AS no_crash_loop, bool_or(coalesce(n, 0) >= 2) AS crash_loop_seen
+  FROM windows w LEFT JOIN again USING (deployment, cycle) GROUP BY w.deployment),
+f AS (SELECT deployment, bool_and(max_lock_attempt <= 2) AS bounded_lock_retries,
+  bool_or(fast_revoke_seen) AS fast_revoke_present,
+  bool_and(coalesce(longest_output_stall_s, 0) < 60) AS bounded_output_stall, bool_and(evictions = 0) AS no_eviction,
+  bool_and(NOT open_budget_hit AND NOT revoke_flush_timeout) AS budgets_not_exhausted,
+  bool_or((evictions > 0 AND (max_lock_attempt > 2 OR lock_retry_count >= 10))
+    OR coalesce(longest_output_stall_s, 0) >= 60) AS degraded_seen FROM report GROUP BY deployment)
+SELECT f.*, no_crash_loop, crash_loop_seen, fast_revoke_present = (deployment = 'feature') AS build_as_expected,
+  CASE WHEN deployment = 'feature' THEN CASE WHEN bounded_lock_retries AND fast_revoke_present AND bounded_output_stall
+    AND no_eviction AND budgets_not_exhausted AND no_crash_loop THEN 'pass' ELSE 'fail' END
+  WHEN fast_revoke_present THEN 'inconclusive' WHEN crash_loop_seen OR degraded_seen THEN 'degraded' ELSE 'inconclusive' END AS verdict
+FROM f JOIN loops USING (deployment)""",
+)
+def log9_all(spark, sf):
+    actions, samples, lines = T.churn(spark, sf)
+    restarts = progress.lock_restarts(lines, progress.cycle_windows(actions, samples))
+    return progress.all_criteria(progress.cycle_report(actions, samples, lines), restarts, ["feature"])
+
+
+@query(
+    "snk2_store_record",
+    f"""SELECT 'dedup' AS label, 'final' AS kind, 'ttl' AS mode, 'dedup-v1' AS cg, true AS has_bytes,
+  count(DISTINCT user_id) AS exact_keys, count(DISTINCT user_id) AS est_keys FROM {O.E}""",
+)
+def snk2(spark, sf):
+    """A stream that reports its store to one sink that fails and one that works; the last record of the latter."""
+    checkpoint, path = fresh_path(spark, "stream-checkpoint"), fresh_path(spark, "records")
+    out = processor.keyed_process_stream(
+        event_stream(spark, sf).select(*EVENT), "user_id", callbacks.on_change("event_type", DAY),
+        EVENT_DDL, "timestamp", ["timestamp", "event_id"],
+    )
+
+    def broken(_):
+        raise OSError("metrics store is down")
+
+    named = {"label": "dedup", "mode": "ttl", "cg": "dedup-v1"}
+    with reporting.reported(spark, broken, **named), reporting.reported(spark, reporting.to_table(spark, path), **named):
+        runner.run_available(out, checkpoint=checkpoint)
+    reporting.to_table(spark, path)(reporting.final_record(spark, checkpoint, path, **named))
+    rows = spark.read.schema(reporting.RECORD).json(path).filter("kind = 'final'")
+    return rows.select("label", "kind", "mode", "cg", (F.col("bytes") > 0).alias("has_bytes"), "exact_keys", "est_keys")
+
+
+@query("src4_named_groups", f"SELECT run, CASE WHEN run = 'again' THEN 0 ELSE count(*) END AS rows FROM {O.E}, (VALUES ('first'), ('again'), ('v2')) AS v(run) GROUP BY run")
+def src4(spark, sf):
+    """A group sees each row once over its runs, a new version of it sees all."""
+    base, out = fresh_path(spark, "groups"), []
+    for run, version in (("first", "v1"), ("again", "v1"), ("v2", "v2")):
+        seen = fresh_path(spark, "seen")
+        rows = event_stream(spark, sf).select(*EVENT)
+        at = topics.group_checkpoint(base, "dedup-filter", version)
+        query = rows.writeStream.foreachBatch(lambda b, i, seen=seen: b.write.parquet(f"{seen}/batch={i}"))
+        runner.await_end(query.option("checkpointLocation", at).trigger(availableNow=True).start())
+        total = spark.read.schema(EVENT_DDL).parquet(seen) if lake_log.exists(spark, seen) else rows.sparkSession.createDataFrame([], EVENT_DDL)
+        out.append(total.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(run).alias("run"), "rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    "src5_recovered_stream",
+    f"""SELECT policy, CASE policy WHEN 'none lost' THEN 0 WHEN 'recover' THEN count(*) ELSE -1 END AS rows FROM {O.E},
+  (VALUES ('none lost'), ('recover'), ('fail')) AS v(policy) GROUP BY policy""",
+)
+def src5_live(spark, sf):
+    """Positions kept by a running group, held against low watermarks at the next start: go on, start a new state, or refuse."""
+    base, table = fresh_path(spark, "groups"), fresh_path(spark, "positions")
+    rows = event_stream(spark, sf).select(*EVENT, (F.col("user_id") % 4).cast("int").alias("partition"))
+
+    def run(checkpoint: str) -> int:
+        seen = fresh_path(spark, "seen")
+
+        def write(batch: DataFrame, batch_id: int) -> None:
+            batch.select(*EVENT).write.parquet(f"{seen}/batch={batch_id}")
+            topics.keep_positions(batch.groupBy("partition").agg((F.max("event_id") + 1).alias("offset")), table, checkpoint, batch_id)
+
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        runner.await_end(query.trigger(availableNow=True).start())
+        return spark.read.schema(EVENT_DDL).parquet(seen).count() if lake_log.exists(spark, seen) else 0
+
+    checkpoint = topics.group_checkpoint(base, "dedup-filter", "v1")
+    run(checkpoint)
+    held = topics.kept_positions(spark, table, checkpoint)
+    fine, lost = dict.fromkeys(held, 0), {p: o + 1 for p, o in held.items()}
+    found = {}
+    for policy, lows, recover in (("none lost", fine, False), ("recover", lost, True), ("fail", lost, False)):
+        try:
+            found[policy] = run(topics.recover_lost_range(held, lows, checkpoint, recover).checkpoint)
+        except topics.LostRange:
+            found[policy] = -1
+    return spark.createDataFrame(list(found.items()), "policy string, rows bigint")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberkey.operators.carry import null_safe_join
 
+log = logging.getLogger(__name__)
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("order_id", T.StringType()),
@@ -127,6 +130,23 @@ def recover_lost_range(
     return Recovery(f"{checkpoint.rstrip('/')}-reset-{mark}", offset_reset, True)
 
 
+def keep_positions(ends: DataFrame, table: str, checkpoint: str, batch_id: int) -> None:
+    """From `foreachBatch`: note the next offset of each partition (partition, offset) that a batch brought.
+
+    One row per partition; a replayed batch writes its folder anew. The newest note of a partition counts.
+    """
+    at = f"{table}/group={sha256(checkpoint.encode()).hexdigest()[:16]}/batch={batch_id:012d}"
+    ends.select(F.col("partition").cast("int"), F.col("offset").cast("bigint")).write.mode("overwrite").parquet(at)
+
+
+def kept_positions(spark: SparkSession, table: str, checkpoint: str) -> dict[int, int]:
+    """The committed positions of a group, as `recover_lost_range` takes them; one number per partition."""
+    at = f"{table}/group={sha256(checkpoint.encode()).hexdigest()[:16]}"
+    rows = spark.read.schema("partition int, offset bigint, batch bigint").option("basePath", at).parquet(at)
+    last = rows.groupBy("partition").agg(F.max_by("offset", "batch").alias("offset"))
+    return {r["partition"]: r["offset"] for r in last.collect()}
+
+
 def lost_positions(committed: DataFrame, lows: DataFrame) -> DataFrame:
     """Positions (topic, partition, offset) that retention has overtaken, with the low watermark."""
     low = lows.select("topic", "partition", F.col("offset").alias("low_watermark"))
@@ -159,6 +179,6 @@ def with_side_output(
             rows = metrics(batch, batch_id)
             rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         except Exception as problem:  # reporting must not stop the stream
-            print(f"metrics of batch {batch_id} not written: {problem}", flush=True)
+            log.warning("metrics of batch %s not written: %s", batch_id, problem)
 
     return write

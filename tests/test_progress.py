@@ -128,3 +128,46 @@ def test_store_verdict(spark):
         "s2": ([8388608], ["nullptr"], 1, True),
         "s3": ([], ["nullptr"], 0, True),
     }
+
+
+def test_all_criteria_and_every_marker(spark):
+    """Each deployment shows one thing more than the clean ones."""
+    lock, first, fast = (
+        "Failed to open rocksdb partition , cannot acquire a lock. Retrying in 3sec.",
+        'Opening rocksdb partition on "/state/3" attempt=1',
+        "Fast revoke: skipping local state flush",
+    )
+    told = {
+        "clean": [fast, first, first],
+        "budget": [fast, "Open budget exhausted"],
+        "flush": [fast, "Revoke: sink flush timed out"],
+        "evicted": [fast, "Application maximum poll interval (60000ms) exceeded"],
+        "orphan": [fast, "Resuming data partitions paused for recovery"],
+        "restarted": [fast, lock, first],
+        "no-marker": [first],
+        "old": [lock, lock, first, lock, first, first],
+        "old-once": [lock, first],
+        "wrong-build": [fast, lock, first, lock, first],
+        "quiet": [],
+    }
+    names = list(told)
+    actions = spark.createDataFrame([(d, c, c * 10_000) for d in names for c in (1, 2)], "deployment string, cycle int, ts_ms bigint")
+    samples = spark.createDataFrame([(d, 10_000 + 500 * k, k) for d in names for k in range(41)], "deployment string, ts_ms bigint, hwm bigint")
+    lines = [(d, 11_000 + k, line) for d in names for k, line in enumerate(told[d])]
+    lines = spark.createDataFrame(lines, "deployment string, ts_ms bigint, line string")
+    report = progress.cycle_report(actions, samples, lines)
+    restarts = progress.lock_restarts(lines, progress.cycle_windows(actions, samples))
+    counted = {(r["deployment"], r["cycle"]): r["lock_restarts"] for r in restarts.collect()}
+    assert len(counted) == 2 * len(names)
+    assert {k: n for k, n in counted.items() if n} == {("restarted", 1): 1, ("old", 1): 2, ("old-once", 1): 1, ("wrong-build", 1): 2}
+    seen = {r["deployment"]: r for r in report.filter("cycle = 1").collect()}
+    assert [d for d in names if seen[d]["open_budget_hit"]] == ["budget"] and [d for d in names if seen[d]["revoke_flush_timeout"]] == ["flush"]
+    assert [d for d in names if seen[d]["orphan_resume_seen"]] == ["orphan"] and [d for d in names if seen[d]["evictions"]] == ["evicted"]
+    feature = ["clean", "budget", "flush", "evicted", "orphan", "restarted", "no-marker"]
+    out = {r["deployment"]: r for r in progress.all_criteria(report, restarts, feature).collect()}
+    assert {d: out[d]["verdict"] for d in names} == {
+        "clean": "pass", "budget": "fail", "flush": "fail", "evicted": "fail", "orphan": "pass", "restarted": "fail", "no-marker": "fail",
+        "old": "degraded", "old-once": "inconclusive", "wrong-build": "inconclusive", "quiet": "inconclusive",
+    }
+    assert [d for d in names if not out[d]["build_as_expected"]] == ["no-marker", "wrong-build"]
+    assert [d for d in names if not out[d]["no_crash_loop"]] == ["restarted", "old", "old-once", "wrong-build"]

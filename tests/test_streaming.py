@@ -6,6 +6,7 @@ import time
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from emberkey.operators import counters, dedup
 from emberkey.sources import topics
@@ -186,3 +187,47 @@ def test_large_numbers_beside_nulls_stay_exact(spark, tmp_path):
     out = processor.keyed_process_stream(stream, "k", same, stream.schema, ts="at", order="at")
     got = runner.run_available(out)
     assert sorted((r["at"], r["v"]) for r in got.collect()) == [(1, big), (2, None), (3, big + 2)]
+
+
+def test_state_is_alike_in_batch_and_stream(spark, tmp_path):
+    """Objects with number keys, tuples, objects changed in place, and nulls in an order column."""
+    from emberkey.operators.process import keyed_process
+
+    def step(row, key, ts, state):
+        held = state.get("held", {})
+        held.setdefault("seen", []).append(row["id"])  # not set, so forgotten
+        known = state.get("by_number", {})
+        state.set("by_number", {row["id"]: (ts, None)})
+        yield {"id": row["id"], "text": repr(known) + repr(state.get("held"))}
+
+    schema = "id bigint, text string"
+    rows = spark.createDataFrame([(1, 5, 10, None), (1, 6, 10, 3), (1, 7, 20, None), (2, 8, 5, 1), (1, 9, 20, 2)], "k int, id bigint, ts bigint, part int")
+    inbox = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(inbox)
+    batch = keyed_process(rows, "k", step, schema, "ts", ["ts", "part"])
+    stream = processor.keyed_process_stream(spark.readStream.schema(rows.schema).parquet(inbox), "k", step, schema, "ts", ["ts", "part"])
+    got = runner.run_available(stream)
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert want[0] == (5, "{}None") and want[1] == (6, "{'5': [10, None]}None") and want[2] == (7, "{'6': [10, None]}None")
+
+
+def test_seeded_stream_keeps_its_state_over_restarts(spark, tmp_path):
+    schema = "k string, v string, ts bigint, id bigint"
+    state = spark.createDataFrame(
+        [(0, "a", ("ON",), True, 100), (0, "b", ("ON",), True, None), (0, "c", ("ON",), False, None), (0, "gone", ("ON",), True, 5)],
+        "partition int, key string, value struct<status:string>, stamped boolean, expires_at_ms bigint",
+    )
+    initial = processor.seed_entries(state, {"k": F.col("key")}, "entry", F.col("value.status"))
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    batches = [
+        [("a", "ON", 99, 1), ("b", "ON", 10**9, 2), ("c", "ON", 10**9, 3), ("d", "ON", 7, 4), ("gone", "ON", 6, 5)],
+        [("a", "ON", 100, 6), ("b", "OFF", 10**9 + 1, 7), ("d", "ON", 8, 8), ("c", "ON", 10**9, 9)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = processor.keyed_process_stream(
+            spark.readStream.schema(schema).parquet(inbox), "k", callbacks.on_change("v", 1000), schema, "ts", ["ts", "id"], initial=initial
+        )
+        got = runner.run_available(stream, out, checkpoint)
+    assert sorted(r["id"] for r in got.collect()) == [4, 5, 6, 7]
