@@ -33,6 +33,7 @@ FLUSH_BYTES = 16 << 20  # texts whose anchors are grouped before they are sent
 INDEX_BYTES = 1 << 20  # text of one index, unless a single group is longer
 WIDE = 1000  # an anchor with more different surroundings is dealt by its windows
 NO_ID = -(1 << 63)
+MOST_RANGE = 65_535  # bytes of a packed range
 _RECORD = np.dtype([("h", "<u8"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u4"), ("pos", "<u4"), ("pre", "u1"), ("more", "u1")])
 
 
@@ -72,7 +73,27 @@ def _packed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 16 | (end - start).astype(np.int64)
 
 
+def _joined(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same bytes of each text in as few ranges as a packed range's length allows."""
+    if not len(ids):
+        return ids, keys, start, end
+    by = np.lexsort((start, keys, ids))
+    ids, keys, start, end = ids[by], keys[by], start[by], end[by]
+    text = np.cumsum(np.append(False, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+    # Texts get stretches of one line that don't touch, so that one running maximum serves them all.
+    line = text * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(line + end)
+    at = np.flatnonzero(np.append(True, (line + start)[1:] > reach[:-1]))
+    start, end = start[at], (reach - line)[np.append(at[1:], len(ids)) - 1]
+    pieces = (end - start + MOST_RANGE - 1) // MOST_RANGE
+    of = np.repeat(np.arange(len(at)), pieces)
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = start[of] + turn * MOST_RANGE
+    return ids[at][of], keys[at][of], start, np.minimum(start + MOST_RANGE, end[of])
+
+
 def _marks(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    ids, keys, start, end = _joined(ids, keys, start, end)
     n = len(ids)
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(n, -1, np.int32)), pa.array(ids), pa.array(keys), pa.array(_packed(start, end)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],

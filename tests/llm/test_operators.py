@@ -249,3 +249,21 @@ def test_bloom_filter_keeps_every_key(spark):
     ids = {r["id"] for r in kept.collect()}
     assert ids >= set(range(0, 20_000, 10)) and len(ids) < 2_100
     assert rows.where(probably_in(rows.where("id < 0").select("k"))(rows["k"])).isEmpty()
+
+
+def test_ranges_are_joined_to_the_same_bytes():
+    rng = np.random.default_rng(4)
+    for most in (65_535, 7):
+        ids, keys = rng.integers(0, 3, 60), rng.integers(-2, 2, 60)
+        start = rng.integers(0, 400, 60)
+        end = start + rng.integers(1, 30, 60)
+        saved, suffix.MOST_RANGE = suffix.MOST_RANGE, most
+        try:
+            got = suffix._joined(ids, keys, start, end)
+        finally:
+            suffix.MOST_RANGE = saved
+        cover = lambda rows: {(i, k, b) for i, k, lo, hi in zip(*map(np.ndarray.tolist, rows)) for b in range(lo, hi)}
+        assert cover(got) == cover((ids, keys, start, end)) and (got[3] - got[2]).max() <= most
+        assert most < 10 or len(got[0]) < 60
+    nothing = suffix._joined(*(np.zeros(0, dtype=np.int64) for _ in range(4)))
+    assert all(len(x) == 0 for x in nothing)
