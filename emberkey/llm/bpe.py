@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from emberkey.llm.common import arrow_rows, blocks
 
 FIRST_LETTER = 0x100  # byte b is written as the letter U+0100 + b
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 CACHED_CHARS = 64
 
 
