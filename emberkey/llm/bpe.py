@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import arrow_rows, blocks
+from emberkey.llm.common import arrow_rows, blocks, lean
 
 FIRST_LETTER = 0x100  # byte b is written as the letter U+0100 + b
 CACHE_ENTRIES = 150_000
@@ -149,4 +149,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, out)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), out)

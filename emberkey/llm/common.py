@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -107,6 +108,22 @@ def arrow_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`work` for `mapInArrow`, giving the memory that it has freed back to the system at its end.
+
+    Python workers live on for later tasks, and a worker's freed memory is of no use to the executor beside it.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 

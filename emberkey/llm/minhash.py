@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import TextBlock, arrow_rows, blocks, connected, materialize, mix64, prefix_hash, probably_in, span_hash, utf8
+from emberkey.llm.common import TextBlock, arrow_rows, blocks, connected, lean, materialize, mix64, prefix_hash, probably_in, span_hash, utf8
 
 WORDS = 5
 LEAST = 0.8
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links counts the links that were verified.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text"))
-    signed = materialize(base.mapInArrow(_sign, "doc_id long, tkey long, digest binary, bands array<long>"), "signed")
+    signed = materialize(base.mapInArrow(lean(_sign), "doc_id long, tkey long, digest binary, bands array<long>"), "signed")
     known = signed.where("digest is not null")
     # One row for each different bag; its text is found again by the least (key of the text, id).
     nodes = known.groupBy("digest").agg(
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = rows.join(wanted.withColumnRenamed("node", "b"), "b")
         rows = texts.alias("d").join(rows.alias("w"), same).select("a", "chunk", "first", "b", "text")
         rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("first").desc())
-        return materialize(rows.mapInArrow(_verify, "a long, b long").distinct(), "verified")
+        return materialize(rows.mapInArrow(lean(_verify), "a long, b long").distinct(), "verified")
 
     to_low = members.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     to_high = members.where("node > low and node < high").select(F.col("node").alias("b"), F.col("high").alias("a"))
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = main.select("bucket", F.col("m.root").alias("main"))
     mixed = materialize(placed.join(main, "bucket"), "mixed")
     wanted, texts = found(mixed)
-    sketches = texts.mapInArrow(_sketch, "doc_id long, tkey long, sketch binary").alias("d").join(wanted.alias("w"), same).select("node", "sketch")
+    sketches = texts.mapInArrow(lean(_sketch), "doc_id long, tkey long, sketch binary").alias("d").join(wanted.alias("w"), same).select("node", "sketch")
     mixed = mixed.join(sizes.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket")
     many = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), many).cast("int")
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = mixed.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "main")
     mixed = mixed.join(materialize(sketches, "sketches"), "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     mixed = mixed.select("bucket", "x", "y", "mine", "node", "root", (F.col("root") != F.col("main")).alias("out"), "sketch")
-    more = materialize(mixed.mapInArrow(_likely, "a long, b long").distinct(), "likely")
+    more = materialize(mixed.mapInArrow(lean(_likely), "a long, b long").distinct(), "likely")
     either = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = materialize(more.join(either, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import TextBlock, arrow_rows, blocks, held_out, labelled_sample, mix64, prefix_hash, span_hash, utf8
+from emberkey.llm.common import TextBlock, arrow_rows, blocks, held_out, labelled_sample, lean, mix64, prefix_hash, span_hash, utf8
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCUMENTS = 6000  # most labelled documents to learn from
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
             )
 
     # At most `sample` rows of at most SAMPLE_PASSAGES passages reach the driver.
-    found = labelled_sample(docs, labels, ["quality"], sample).mapInArrow(bags, "x binary, n int, y int").toPandas()
+    found = labelled_sample(docs, labels, ["quality"], sample).mapInArrow(lean(bags), "x binary, n int, y int").toPandas()
     if found["y"].nunique() < 2:
         return None
     found = found.sort_values(["y", "n", "x"])  # the order of partitions doesn't count
@@ -174,7 +174,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOC
             )
 
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("h"))
-    return inputs.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return inputs.mapInArrow(lean(work), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
@@ -197,4 +197,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: in
                 at += len(rows)
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)

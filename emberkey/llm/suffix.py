@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import BASE, INVERSE, TextBlock, arrow_rows, blocks, materialize, mix64, powers, prefix_hash, span_hash, utf8
+from emberkey.llm.common import BASE, INVERSE, TextBlock, arrow_rows, blocks, lean, materialize, mix64, powers, prefix_hash, span_hash, utf8
 
 LENGTH = 100
 ANCHOR = 32
@@ -352,15 +352,15 @@ def with_ranges(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     key = F.xxhash64(F.coalesce("text", F.lit("")))  # tells rows of one id apart
     base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), key.alias("tkey"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(64, base.count() // 4000)
-    grouped = base.mapInArrow(_group(parts), _FOUND)
+    grouped = base.mapInArrow(lean(_group(parts)), _FOUND)
     # Marks pass through; they are spread by their documents.
     grouped = grouped.repartition(F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.xxhash64("id", "range")))
-    found = materialize(grouped.sortWithinPartitions("part").mapInArrow(lambda it: _meet(it, wide), _FOUND), "found")
+    found = materialize(grouped.sortWithinPartitions("part").mapInArrow(lean(lambda it: _meet(it, wide)), _FOUND), "found")
     closer = found.where("part = -2").groupBy("id", "tkey").agg(F.collect_list(F.struct("range", "anchor")).alias("found"))
-    around = base.join(closer, ["id", "tkey"]).select("id", "tkey", "text", "found").mapInArrow(_surroundings, "anchor long, id long, tkey long, first long, bytes binary")
+    around = base.join(closer, ["id", "tkey"]).select("id", "tkey", "text", "found").mapInArrow(lean(_surroundings), "anchor long, id long, tkey long, first long, bytes binary")
     around = around.repartition(F.when(F.col("bytes").isNotNull(), F.col("anchor")).otherwise(F.xxhash64("id", "first")))
     around = around.sortWithinPartitions("anchor", "id", "tkey", "first")
-    cut = materialize(around.mapInArrow(_index, _FOUND).select("id", "tkey", "range"), "cut")
+    cut = materialize(around.mapInArrow(lean(_index), _FOUND).select("id", "tkey", "range"), "cut")
     marks = found.where("part = -1").select("id", "tkey", "range").unionByName(cut)
     marks = marks.groupBy("id", "tkey").agg(F.collect_list("range").alias("ranges"))
     own = [F.col("d." + c) for c in docs.columns]
@@ -412,4 +412,4 @@ def remove_repeats(docs: DataFrame, wide: int = WIDE) -> DataFrame:
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_ranges(plain, wide).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_ranges(plain, wide).mapInArrow(lean(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
