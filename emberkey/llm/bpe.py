@@ -147,6 +147,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                 ids,
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+        codec.known.clear()  # the worker lives on, perhaps for tasks that encode nothing
 
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), out)
