@@ -9,8 +9,8 @@ in the same document. The corpus is never indexed as a whole; four steps narrow
    Anchors with equal strings but different surroundings are left over.
 3. Only their surroundings are indexed: a run-length index, the Burrows-Wheeler transform of the
    suffixes in the order of their first 100 bytes, kept as runs with the text positions at both ends of each.
-   Suffixes with 100 equal bytes are neighbours in text order, so the first run end of such a stretch is the earliest
-   place. Streaming the texts through it gives each window's matching statistic against what comes before it.
+   Suffixes with 100 equal bytes are neighbours in text order, so the least run end of such a stretch is the earliest
+   place. A window's stretch is looked up by the rank of its position; there is no backward search over the runs.
 4. The marked windows of a document are joined and cut out.
 """
 
