@@ -26,6 +26,7 @@ ARCHIVE_BYTES = 1 << 30
 RANGE_BYTES = 8 << 20  # most bytes of one read
 GAP_BYTES = 64 << 10  # unselected bytes worth reading over
 TASK_BYTES = 32 << 20
+MOST_TASKS = 20_000  # beyond it a task reads several stretches
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 INDEX = "archive string, offset long, length long, url string, payload_digest string, page_id long, record_type string, refers_to long"
@@ -150,7 +151,8 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records that index rows name, with payload (null for revisits) on request.
 
     A response's digest is computed anew and must be the one in its header. Work is spread by
-    archive and stretch of `TASK_BYTES`; a task holds one read of at most `RANGE_BYTES`, or one longer record.
+    archive and stretch of `TASK_BYTES`, in as many tasks as there are stretches: index rows are small, and left to
+    itself Spark would join them into one task. A task holds one read of at most `RANGE_BYTES`, or one longer record.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +182,8 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
             source.close()
 
     spread = index.select("archive", "offset", "length", F.floor(F.col("offset") / TASK_BYTES).alias("stretch"))
-    spread = spread.repartition("archive", "stretch").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    tasks = max(1, min(MOST_TASKS, spread.select("archive", "stretch").distinct().count()))
+    spread = spread.repartition(tasks, "archive", "stretch").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return spread.mapInArrow(work, RECORDS + ", payload binary" * with_payload)
 
 
