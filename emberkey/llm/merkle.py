@@ -7,13 +7,15 @@ texts are equal if and only if their roots are. Inside a paragraph the tree goes
 runs of two or more words (about four) cut by content, of which 32 bits are kept.
 
 A fingerprint is a string: root in hex, ``:``, the sections joined by ``/``, in them the paragraphs
-joined by ``,``, in them the leaves, eight hex digits each. Cuts depend on content only, so an edit
-changes the leaves near it and the branch above them; all other branches keep their digests.
+joined by ``,``: the first eight hex digits of a paragraph's digest, then its leaves, eight hex digits each.
+Cuts depend on content only, so an edit changes the leaves near it and the branch above them; all other
+branches keep their digests. White space belongs to no leaf, but to its paragraph's digest.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -58,7 +60,7 @@ def trees(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
             lo, hi, d0, d1 = next(bounds)
             digest = hashlib.sha256(block.raw[lo:hi]).digest()
             section.update(digest)
-            paragraphs.append(digits[d0:d1])
+            paragraphs.append(digest[:4].hex() + digits[d0:d1])
             if lo == hi or digest[0] % 4 == 0:
                 root.update(section.digest())
                 sections.append(",".join(paragraphs))
@@ -88,32 +90,43 @@ def _shared(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def likeness(left: str, right: str) -> float:
-    """1 for equal roots, else twice the shared leaves over all leaves of both, 0 if there are none."""
+    """1 for equal roots, else twice the shared leaves over all leaves and roots of both, which is less than 1."""
     root_a, _, a = left.partition(":")
     root_b, _, b = right.partition(":")
     if root_a == root_b:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x.replace(",", "").replace("/", "")), dtype=">u4") for x in (a, b))
-    return 2 * int(_shared(a, b)[1].sum()) / max(1, len(a) + len(b))
+    a, b = (np.frombuffer(bytes.fromhex("".join(p[8:] for p in x.replace("/", ",").split(","))), dtype=">u4") for x in (a, b))
+    return 2 * int(_shared(a, b)[1].sum()) / (len(a) + len(b) + 2)
 
 
 def differing_branches(left: str, right: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Where two texts differ: (section, paragraph) indexes of the left's and the right's branches that the other lacks.
 
-    Equal sections are passed over whole; only differing ones are opened. Equal roots give two empty lists.
+    Equal sections at both ends are passed over whole; of the rest, paragraphs are matched as often as both
+    texts have them. Where all match, only their order or the cut into sections differs, and the paragraphs
+    that differ from the other text's at the same place are given. Equal roots give two empty lists.
     """
     if left.partition(":")[0] == right.partition(":")[0]:
         return [], []
-    a, b = (x.partition(":")[2].split("/") for x in (left, right))
-
-    def only(mine: list[str], other: list[str]) -> list[tuple[int, int]]:
-        whole = set(other)
-        parts = {p for s in other for p in s.split(",")}
-        return [
-            (i, j) for i, s in enumerate(mine) if s not in whole for j, p in enumerate(s.split(",")) if p not in parts
-        ]
-
-    return only(a, b), only(b, a)
+    a, b = ([s.split(",") for s in x.partition(":")[2].split("/")] for x in (left, right))
+    head = next((n for n, (s, t) in enumerate(zip(a, b, strict=False)) if s != t), min(len(a), len(b)))
+    most = min(len(a), len(b)) - head
+    tail = next((n for n, (s, t) in enumerate(zip(a[::-1], b[::-1], strict=False)) if s != t or n == most), most)
+    flat_a, flat_b = ([((i, j), p) for i, s in enumerate(x) if head <= i < len(x) - tail for j, p in enumerate(s)] for x in (a, b))
+
+    def only(mine: list[tuple], other: list[tuple]) -> list[tuple[int, int]]:
+        spare, out = Counter(p for _, p in other), []
+        for at, p in mine:
+            spare[p] -= 1
+            if spare[p] < 0:
+                out.append(at)
+        return out
+
+    lacking = only(flat_a, flat_b), only(flat_b, flat_a)
+    if any(lacking):
+        return lacking
+    moved = [(x[0], y[0]) for x, y in zip(flat_a, flat_b, strict=True) if x[1] != y[1]]
+    return [x for x, _ in moved], [y for _, y in moved]
 
 
 def _pairs_alike(fa: list[str], la: np.ndarray, na: np.ndarray, fb: list[str], lb: np.ndarray, nb: np.ndarray) -> list[float]:
@@ -122,7 +135,7 @@ def _pairs_alike(fa: list[str], la: np.ndarray, na: np.ndarray, fb: list[str], l
     key = lambda leaf, counts: np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(32), counts) | leaf
     keys, times = _shared(key(la, na), key(lb, nb))
     both = np.bincount((keys >> np.uint64(32)).astype(np.int64), weights=times, minlength=n)
-    value = 2 * both / np.maximum(1, na + nb)
+    value = 2 * both / (na + nb + 2)
     return [1.0 if x[:64] == y[:64] else v for x, y, v in zip(fa, fb, value.tolist(), strict=True)]
 
 

@@ -54,6 +54,47 @@ def test_differing_branches():
     assert len(a) == len(b) == 1 and merkle.differing_branches(left, left) == ([], [])
 
 
+def rebuilt(text):
+    """Root and paragraph digests, by hashlib alone."""
+    root, section, seen, open_ = hashlib.sha256(), b"", [], False
+    for line in text.encode().split(b"\n"):
+        digest = hashlib.sha256(line).digest()
+        seen.append(digest)
+        section, open_ = section + digest, True
+        if not line or digest[0] % 4 == 0:
+            root.update(hashlib.sha256(section).digest())
+            section, open_ = b"", False
+    if open_:
+        root.update(hashlib.sha256(section).digest())
+    return root.hexdigest(), seen
+
+
+def test_trees_equal_those_of_hashlib(documents):
+    texts = [r[1] or "" for r in documents] + ["", "\n", "\n\n", "a\n", "a b c\na b c"]
+    for text, tree in zip(texts, merkle.trees([t.encode() for t in texts])[0], strict=True):
+        root, seen = rebuilt(text)
+        assert tree[:64] == root
+        paragraphs = tree[65:].replace("/", ",").split(",")
+        assert [p[:8] for p in paragraphs] == [d[:4].hex() for d in seen]
+
+
+@pytest.mark.parametrize(
+    ("left", "right"),
+    [("one two three\nfour five six", "four five six\none two three"), ("a b c", "a b c "), ("a b c\na b c", "a b c"), ("", " "), ("x\n\ny", "x\n\n\ny")],
+)
+def test_every_edit_is_located(left, right):
+    a, b = merkle.fingerprint(left), merkle.fingerprint(right)
+    assert merkle.differing_branches(a, b) != ([], []) and 0 <= merkle.likeness(a, b) < 1
+    assert merkle.differing_branches(a, b) == merkle.differing_branches(b, a)[::-1]
+
+
+def test_edits_are_located_among_many_paragraphs():
+    lines = [f"paragraph {k} says {k * k} and more" for k in range(200)]
+    other = lines[:120] + ["a new one"] + lines[120:]
+    a, b = merkle.differing_branches(merkle.fingerprint("\n".join(lines)), merkle.fingerprint("\n".join(other)))
+    assert a == [] and len(b) == 1
+
+
 def test_nearest(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SMALL}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids, e = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -88,7 +129,7 @@ def test_urls(spark):
     assert urlfilter.judge_pages(rows.limit(0)).count() == 0
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     same = "x" * 1500
     rows = [(1, "http://a/ b\r\n", same), (5, None, same), (3, "http://c", same), (7, "u", None), (8, "u", ""), (9, "u", "é" * 400), (10, "u", "é" * 400), (None, "n", same), (11, "ü", "short")]
     index = warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w", archive_bytes=600)
@@ -99,6 +140,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert got[9]["record_type"] == got[10]["record_type"] == "response"
     assert got[7]["payload_digest"] == got[8]["payload_digest"] == hashlib.sha1(b"").hexdigest()
     assert warc.read_records(index.where("page_id in (9, 11)")).count() == 2
+    monkeypatch.setattr(warc, "TASK_BYTES", 200)
+    stretches = index.selectExpr("archive", "offset div 200").distinct().count()
+    assert warc.read_records(index).rdd.getNumPartitions() >= stretches > 1
     assert list(warc.coalesced(iter([("a", 0, 10), ("a", 20, 5), ("a", 1 << 20, 5), ("b", 0, 1)]))) == [("a", 0, [(0, 10), (20, 5)]), ("a", 1 << 20, [(1 << 20, 5)]), ("b", 0, [(0, 1)])]
 
 
@@ -232,6 +276,24 @@ def test_near_duplicates(spark, documents, odd, none):
     assert classes[5] == 4 and classes[7] == 6 and classes[8] == 6 and classes[0] == 0 and classes[2] == 2
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_copies_of_copies(spark, monkeypatch, block):
+    """Copies of one text with edits at random, many of which are alike to few others, over several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in rng.integers(0, 900, 300)]
+        for n in range(40):
+            words = list(base)
+            for k in rng.integers(0, 300, 4 + 3 * group):
+                words[k] = f"e{rng.integers(0, 1 << 40)}"
+            rows.append((int(group * 40 + n), " ".join(words)))
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+
+
 def test_signatures_estimate_weighted_likeness():
     a = " ".join(f"x{i}" for i in range(200)) + " rep rep rep rep rep rep rep rep"
     b = " ".join(f"x{i}" for i in range(20, 200)) + " rep" * 30
