@@ -10,6 +10,7 @@ reads the lists whose centroid isn't farther than a ratio of the nearest one's d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ SAMPLE_VECTORS = 32_768  # to place centroids by; every vector is indexed
 COPIES = 4  # lists that a vector may be in
 COPY_RATIO = 1.10  # ... if their centroids are nearer than so many times the nearest one
 SEARCH_RATIO = 1.17  # lists that a query reads: distance to their centroid, against the nearest one
-SEARCH_LISTS = 1024  # most lists that a query reads
+SEARCH_LISTS = 1024  # centroids that a query looks at first; further ones if all of these are near enough
 SLICE_VECTORS = 2048  # a longer list is dealt to several tasks
 NEIGHBOURS = 24  # edges of a centroid in the graph
 
@@ -109,6 +110,24 @@ class CentroidGraph:
         return ids[:, :k], np.sqrt(d[:, :k])
 
 
+def near_lists(graph: CentroidGraph, x: np.ndarray, ratio: float, first: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) for the lists whose centroid is at most `ratio` times as far as the row's nearest one.
+
+    The search starts with the `first` nearest centroids and is widened for rows that all of these fit, up to all centroids; at
+    most `most` lists are given, if that is set.
+    """
+    ids, d = graph.nearest(x, first)
+    keep = (ids >= 0) & (d <= d[:, :1] * ratio + 1e-12)
+    wider = np.flatnonzero(keep[:, -1]) if most is None and first < len(graph.c) else np.zeros(0, np.int64)
+    keep[wider] = False
+    row, col = np.nonzero(keep[:, :most])
+    lists = ids[row, col]
+    if len(wider):
+        more, further = near_lists(graph, x[wider], ratio, 4 * first)
+        row, lists = np.concatenate((row, wider[more])), np.concatenate((lists, further))
+    return row, lists
+
+
 def _lift(x: np.ndarray, top: float, query: bool) -> np.ndarray:
     """One more component: the rest up to the largest norm for vectors, 0 for queries."""
     rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, top * top - (x**2).sum(1)))
@@ -135,8 +154,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, search_ratio: float
 
     Nearest means the largest inner product, ties go to the smaller id; a query's own id is left
     out. Vectors that are null, zero, or hold a null or non-finite component take no part, nor do rows without
-    an id and vectors of another length than the first id's. Rows that repeat both id and vector count once. An
-    empty table gives no rows; a query without other vectors none.
+    an id. A product needs vectors of one length, so each length that occurs among queries (commonly one) is searched by
+    itself. Rows that repeat both id and vector count once. An empty table gives no rows; a query without other vectors none.
 
     Equal vectors are one entry with its k + 1 smallest ids, which is all that ties can need, so many copies make
     no long list and no repeated work. Longer lists are cut into slices. Queries meet lists
@@ -146,12 +165,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, search_ratio: float
     emb = F.col("embedding").cast("array<double>")
     sound = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), emb.alias("e")).where("vec_id is not null and e is not null").where(sound)
-    first = rows.orderBy("vec_id").select(F.size("e")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if first is None:
-        return spark.createDataFrame([], schema)
-    dims = first[0]
-    rows = rows.where(F.size("e") == dims).withColumns({"k1": F.xxhash64("e"), "k2": F.xxhash64(F.lit(1), "e")})
+    lengths = rows.where(F.col("vec_id") % every == 0).select(F.size("e").alias("n")).distinct().orderBy("n").collect()
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search(rows.where(F.size("e") == n), n, every, k, search_ratio, list_vectors) for (n,) in lengths]
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _search(rows: DataFrame, dims: int, every: int, k: int, search_ratio: float, list_vectors: int) -> DataFrame:
+    """The same for sound vectors (vec_id, e) of `dims` components."""
+    spark = rows.sparkSession
+    rows = rows.withColumns({"k1": F.xxhash64("e"), "k2": F.xxhash64(F.lit(1), "e")})
     smallest = F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     few = rows.withColumn("r", smallest).where(F.col("r") <= k + 1)
     grouped = few.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.first("e").alias("e"))
@@ -172,17 +195,14 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, search_ratio: float
     shipped = spark.sparkContext.broadcast((graph, float(top)))
 
     def place(query: bool) -> DataFrame:
-        most, ratio = (SEARCH_LISTS, search_ratio) if query else (COPIES, COPY_RATIO)
+        ratio, first, most = (search_ratio, SEARCH_LISTS, None) if query else (COPY_RATIO, 16, COPIES)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             graph, top = shipped.value
             for held in _take(arrow_rows(batches), 512):
-                ids, d = graph.nearest(_lift(_matrix([p for _, p in held]), top, query), max(most, 16))
-                ids, d = ids[:, :most], d[:, :most]
-                keep = (ids >= 0) & (d <= d[:, :1] * ratio + 1e-12)
-                at, col = np.nonzero(keep)
+                at, lists = near_lists(graph, _lift(_matrix([p for _, p in held]), top, query), ratio, first, most)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at, col].astype(np.int32)), pa.array([held[i][0] for i in at], pa.int64()), pa.array([held[i][1] for i in at], pa.binary())],
+                    [pa.array(lists.astype(np.int32)), pa.array([held[i][0] for i in at], pa.int64()), pa.array([held[i][1] for i in at], pa.binary())],
                     names=["list", "entry", "point"],
                 )
 
