@@ -24,7 +24,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 3  # segments of a template; further ones are one wildcard
+DEPTH = 8  # levels of the tree; what follows the last one belongs to it, whole
 FEW_PAGES = 4  # a node is variable if it has ...
 MANY_CHILDREN = 8  # ... so many children and fewer pages a child
 SMOOTHING = 4.0
@@ -53,15 +53,14 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def general_segments(path: Column, depth: int = DEPTH) -> list[Column]:
-    """The first segments in general form; null past the end, and ``**`` on the last if more follow."""
+    """The path in general form: a segment for each level, empty past the end; the last level takes all that follow."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     general = F.transform(
         parts,
         lambda s: F.when(F.regexp_like(s, F.lit("^[0-9a-fA-F-]{16,}$")), F.lit("*")).otherwise(F.regexp_replace(s, "[0-9]+", "#")),
     )
-    out = [F.get(general, F.lit(i)) for i in range(depth)]
-    out[-1] = F.when(F.size(general) > depth, F.concat(out[-1], F.lit("/**"))).otherwise(out[-1])
-    return [F.coalesce(s, F.lit("")) for s in out]
+    rest = F.array_join(F.slice(general, F.lit(depth), F.greatest(F.size(general) - (depth - 1), F.lit(0))), "/")
+    return [*[F.coalesce(F.get(general, F.lit(i)), F.lit("")) for i in range(depth - 1)], F.coalesce(rest, F.lit(""))]
 
 
 def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, depth: int = DEPTH) -> DataFrame:
@@ -69,7 +68,8 @@ def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
 
     Pages that a rule judges are the labelled ones. Without any labelled page purity is 0.5 by its prior and
     unruled pages are blocked. Null and odd urls have an empty host and the empty template. Repeated
-    rows each give a row, an empty table none; other columns are ignored.
+    rows each give a row, an empty table none; other columns are ignored, whatever their names. However long an url is, all
+    of its path counts: segments past `depth` levels are one segment together.
 
     All statistics are sums with map-side combine over (host, general path); later steps work on these
     counts only. The pages meet the counts in one join on (host, segments), of which a busy host
@@ -83,22 +83,22 @@ def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
     n, b = F.count("ruled"), F.sum(F.when(F.col("ruled") == "block", 1).otherwise(0))
     forms = materialize(base.groupBy("host", *seg).agg(F.count("*").alias("pages"), n.alias("n"), b.alias("b")), "forms")
 
-    # Level by level: a node's many rare children become one.
+    # Level by level, as far as any path goes: a node's many rare children become one.
+    last = lambda c: reduce(lambda rest, i: F.when(F.col(f"{c}{i}") != "", F.lit(i)).otherwise(rest), range(depth), F.lit(-1))
+    levels = 1 + (forms.agg(F.max(last("s"))).first()[0] or 0)
     tree = forms.withColumns({f"t{i}": F.lit("") for i in range(depth)})
-    for i in range(depth):
+    for i in range(levels):
         node = ["host", *[f"t{j}" for j in range(i)]]
         children = tree.groupBy(*node, seg[i]).agg(F.sum("pages").alias("pages")).groupBy(*node)
         wide = children.agg(F.count("*").alias("children"), F.sum("pages").alias("below"))
         wide = wide.where((F.col("children") >= MANY_CHILDREN) & (F.col("below") < F.col("children") * FEW_PAGES))
         wide = wide.select(*node, F.lit(True).alias("variable"))
         shown = F.when(F.col("variable") & (F.col(seg[i]) != ""), F.lit("*")).otherwise(F.col(seg[i]))
-        tree = tree.join(wide, node, "left").withColumn(f"t{i}", shown).drop("variable")
-    tree = materialize(tree, "tree")
+        tree = materialize(tree.join(wide, node, "left").withColumn(f"t{i}", shown).drop("variable"), "tree")
 
     # Siblings that differ from their parent by chance only are one branch, ~.
     # Siblings are children of the deepest node that has any segment; the last filled segment is the leaf.
-    filled = reduce(lambda rest, i: F.when(F.col(f"t{i}") != "", F.lit(i)).otherwise(rest), range(depth), F.lit(-1))
-    leafed = tree.withColumn("deep", filled)
+    leafed = tree.withColumn("deep", last("t"))
     leaf = F.when(F.col("deep") >= 0, F.get(F.array(*[F.col(f"t{i}") for i in range(depth)]), F.col("deep"))).otherwise("")
     parent = F.concat_ws("/", *[F.when(F.col("deep") > i, F.col(f"t{i}")) for i in range(depth)])
     leafed = leafed.withColumns({"leaf": leaf, "parent": parent})
@@ -128,7 +128,7 @@ def judge_pages(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULE
 
 
 def sql(rules: tuple[tuple[str, str, str], ...] = RULES) -> str:
-    """The same in DuckDB's SQL, for three segments."""
+    """The same in DuckDB's SQL."""
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda of: "CASE " + " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{of(v, h, p)}'" for v, h, p in ordered) + " END"
@@ -136,10 +136,16 @@ def sql(rules: tuple[tuple[str, str, str], ...] = RULES) -> str:
     def step(i: int) -> str:
         node = ", ".join(["host", *[f"t{j}" for j in range(i)]])
         prev = "forms" if i == 0 else f"tree{i - 1}"
-        return f"""kid{i} AS (SELECT {node}, s{i}, sum(pages) AS pages FROM {prev} GROUP BY ALL),
+        return f"""kid{i} AS MATERIALIZED (SELECT {node}, s{i}, sum(pages) AS pages FROM {prev} GROUP BY ALL),
 wide{i} AS (SELECT {node}, count(*) >= {MANY_CHILDREN} AND sum(pages) < count(*) * {FEW_PAGES} AS variable FROM kid{i} GROUP BY {node}),
-tree{i} AS (SELECT x.*, CASE WHEN variable AND s{i} <> '' THEN '*' ELSE s{i} END AS t{i} FROM {prev} x JOIN wide{i} USING ({node}))"""
-
+tree{i} AS MATERIALIZED (SELECT x.*, CASE WHEN variable AND s{i} <> '' THEN '*' ELSE s{i} END AS t{i} FROM {prev} x JOIN wide{i} USING ({node}))"""
+
+    levels = range(DEPTH)
+    names = ", ".join(f"s{i}" for i in levels)
+    segments = ", ".join([*[f"coalesce(g[{i + 1}], '') AS s{i}" for i in levels[:-1]], f"coalesce(array_to_string(g[{DEPTH}:], '/'), '') AS s{DEPTH - 1}"])
+    steps = ",\n".join(step(i) for i in levels)
+    leaf = "CASE " + " ".join(f"WHEN t{i} <> '' THEN t{i}" for i in reversed(levels)) + " ELSE '' END"
+    parent = "CASE " + " ".join(f"WHEN t{i} <> '' THEN concat_ws('/', {', '.join(f't{j}' for j in range(i))})" for i in reversed(levels[1:])) + " ELSE '' END"
     smooth = lambda x, m, prior: f"(({x} + {SMOOTHING} * {prior})::DOUBLE / ({m} + {SMOOTHING}))"
     return f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS after FROM pages),
@@ -147,17 +153,13 @@ parts AS (SELECT page_id, coalesce(translate(regexp_extract(after, '^([^/?#]*)',
   coalesce(regexp_extract(substr(after, length(regexp_extract(after, '^([^/?#]*)', 1)) + 1), '^([^?#]*)', 1), '') AS path FROM cut),
 segs AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled,
   list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {general}) AS g FROM parts),
-base AS (SELECT page_id, host, path, rule, ruled, coalesce(g[1], '') AS s0, coalesce(g[2], '') AS s1,
-  coalesce(CASE WHEN len(g) > 3 THEN g[3] || '/**' ELSE g[3] END, '') AS s2 FROM segs),
-forms AS (SELECT host, s0, s1, s2, count(*) AS pages, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM base GROUP BY ALL),
-{step(0)},
-{step(1)},
-{step(2)},
-leafed AS (SELECT *, CASE WHEN t2 <> '' THEN t2 WHEN t1 <> '' THEN t1 ELSE t0 END AS leaf,
-  CASE WHEN t2 <> '' THEN t0 || '/' || t1 WHEN t1 <> '' THEN t0 ELSE '' END AS parent FROM tree2),
+base AS MATERIALIZED (SELECT page_id, host, path, rule, ruled, {segments} FROM segs),
+forms AS MATERIALIZED (SELECT host, {names}, count(*) AS pages, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM base GROUP BY ALL),
+{steps},
+leafed AS MATERIALIZED (SELECT *, {leaf} AS leaf, {parent} AS parent FROM tree{DEPTH - 1}),
 branch AS (SELECT host, parent, leaf, sum(n) AS n, sum(b) AS b FROM leafed GROUP BY ALL),
 above AS (SELECT host, parent, sum(n) AS pn, (sum(b) + 0.5)::DOUBLE / (sum(n) + 1.0) AS rate FROM branch GROUP BY ALL),
-merged AS (SELECT host, parent, leaf, n, b, '/' || CASE WHEN parent <> '' THEN parent || '/' ELSE '' END ||
+merged AS MATERIALIZED (SELECT host, parent, leaf, n, b, '/' || CASE WHEN parent <> '' THEN parent || '/' ELSE '' END ||
   CASE WHEN abs(b - n * rate) <= {CHANCE} * sqrt(n * rate * (1.0 - rate)) + 0.5 THEN '~' ELSE leaf END AS template FROM branch JOIN above USING (host, parent)),
 every AS (SELECT (coalesce(sum(b), 0) + 1.0)::DOUBLE / (coalesce(sum(n), 0) + 2.0) AS g FROM merged),
 forms_all AS (SELECT parent, leaf, sum(n) AS fn, sum(b) AS fb FROM merged GROUP BY ALL),
@@ -167,5 +169,5 @@ scored AS (SELECT m.host, m.parent, m.leaf, m.template,
   round({smooth("tb", "tn", f"(({smooth('fb', 'fn', 'g')} + {smooth('hb', 'hn', 'g')}) / 2.0)")}, 6) AS purity
   FROM merged m JOIN pooled USING (host, template) JOIN forms_all USING (parent, leaf) JOIN hosts USING (host) CROSS JOIN every)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
-FROM base JOIN leafed USING (host, s0, s1, s2) JOIN scored USING (host, parent, leaf)
+FROM base JOIN leafed USING (host, {names}) JOIN scored USING (host, parent, leaf)
 """
