@@ -136,15 +136,15 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """(text, *columns) of at most `rows` labelled documents that aren't held out, the same ones in every run.
 
-    Labels with a null are left out, and of several for one id the least counts. The sampled ids are at most `rows`,
+    Labels with a null are left out, and of several labels or texts for one id the least counts. The sampled ids are at most `rows`,
     so they are broadcast, and the documents aren't shuffled to find them.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("int").alias(c) for c in columns])
     known = known.dropna().where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in columns])
     some = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = materialize(texts.join(F.broadcast(some), "doc_id"), "sample")
-    return found.dropDuplicates(["doc_id"]).select("text", *columns)
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
+    return materialize(found.select("text", *columns), "sample")
 
 
 def probably_in(keys: DataFrame) -> Callable[[Column], Column]:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkey.llm.common import TextBlock, arrow_rows, blocks, held_out, labelled_sample, lean, mix64, prefix_hash, span_hash, utf8
+from emberkey.llm.common import TextBlock, arrow_rows, blocks, held_out, labelled_sample, lean, materialize, mix64, prefix_hash, span_hash, utf8
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCUMENTS = 6000  # most labelled documents to learn from
-SAMPLE_PASSAGES = 64  # most passages of one of them, evenly spaced; scoring uses all
+SAMPLE_PASSAGES = 160_000  # most passages of all of them together: 86 MB; beyond it the longest aren't learnt from
 BYTE_CLASSES = np.array([b if b < 128 else 128 for b in range(256)])
 FEATURES = 129 + 6
 
@@ -46,9 +46,11 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     x = np.zeros((total, FEATURES), dtype=np.float32)
     x[:, :129] = np.sqrt(mix / np.maximum(1, sizes)[:, None])
     if len(starts):
-        n = np.maximum(1, np.bincount(passage, minlength=total))
+        words_in = np.bincount(passage, minlength=total)
+        n = np.maximum(1, words_in)
         word = span_hash(prefix_hash(block.data), starts, ends)
-        before = lambda k: np.concatenate((np.arange(k, dtype=np.uint64), word[:-k]))
+        # The word k places before; words of another text don't count.
+        before = lambda k: np.concatenate((np.arange(k, dtype=np.uint64)[: len(word)], np.where(doc[k:] == doc[:-k], word[:-k], np.uint64(k))))
         same = np.append(False, (word[1:] == word[:-1]) & (doc[1:] == doc[:-1]))
         triple = mix64(word + np.uint64(3) * before(1)) + np.uint64(5) * before(2)
 
@@ -63,7 +65,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         x[:, 130] = share(same)
         x[:, 131] = share(new(triple, doc))
         x[:, 132] = np.log1p(share(ends - starts))
-        x[:, 133] = n / PASSAGE_WORDS
+        x[:, 133] = words_in / PASSAGE_WORDS
     x[:, 134] = np.log1p(np.repeat(words, counts)) / 10
     return x, counts
 
@@ -129,23 +131,23 @@ class AttentionModel:
         return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) -> AttentionModel | None:
-    """A model from at most `sample` labelled documents that aren't held out; None if fewer than two labels are there."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS, passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
+    """A model from at most `sample` labelled documents that aren't held out; None if fewer than two labels are there.
+
+    A document is learnt with all its passages or not at all: where the sample has more than `passages`, its longest documents go.
+    """
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in blocks(((utf8(t), q) for t, q in arrow_rows(batches)), 0):
             x, counts = encode([t for t, _ in rows])
-            ends = np.cumsum(counts)
-            out = []
-            for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
-                k = np.unique(np.linspace(end - n, end - 1, min(n, SAMPLE_PASSAGES)).astype(np.int64))
-                out.append((x[k].tobytes(), len(k)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in out]), pa.array([n for _, n in out], pa.int32()), pa.array([q for _, q in rows], pa.int32())], names=["x", "n", "y"]
-            )
-
-    # At most `sample` rows of at most SAMPLE_PASSAGES passages reach the driver.
-    found = labelled_sample(docs, labels, ["quality"], sample).mapInArrow(lean(bags), "x binary, n int, y int").toPandas()
+            bag = [part.tobytes() for part in np.split(x, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(bag, pa.binary()), pa.array(counts, pa.int32()), pa.array([q for _, q in rows], pa.int32())], names=["x", "n", "y"])
+
+    # At most `sample` rows and `passages` passages reach the driver.
+    bagged = materialize(labelled_sample(docs, labels, ["quality"], sample).mapInArrow(lean(bags), "x binary, n int, y int"), "bags")
+    sizes = np.sort(bagged.select("n").toPandas()["n"].to_numpy(dtype=np.int64))
+    over = sizes[np.cumsum(sizes) > passages]
+    found = (bagged.where(F.col("n") < int(over[0])) if len(over) else bagged).toPandas()
     if found["y"].nunique() < 2:
         return None
     found = found.sort_values(["y", "n", "x"])  # the order of partitions doesn't count

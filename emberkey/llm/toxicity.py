@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from emberkey.llm.common import PUNCTUATION, TextBlock, arrow_rows, blocks, held_out, labelled_sample, materialize, mix64, prefix_hash, span_hash, utf8
 
 SAMPLE_DOCUMENTS = 12_000  # most labelled documents to learn from
-SAMPLE_BYTES = 200_000  # most bytes of one of them, from the middle of longer texts; scoring uses whole texts
 FEATURES = 512  # of each category
 LEAST_DOCUMENTS = 5  # that a feature must occur in
 BEGINNINGS = (4, 5)  # bytes of a word's beginning
@@ -121,12 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     if not 0 < positive[-1] < total:
         return None
 
-    def cut(text: str) -> str:
-        spare = max(0, len(text) - SAMPLE_BYTES) // 2
-        return text[spare : len(text) - spare]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in blocks(((cut(r[0]), np.array(r[1:]) > 0) for r in arrow_rows(batches)), 0, 8 << 20):
+        for held in blocks(((r[0], np.array(r[1:]) > 0) for r in arrow_rows(batches)), 0, 8 << 20):
             doc, key = features([t for t, _ in held])
             pair = _unique_pairs(key, doc)
             keys, at = np.unique(pair[0], return_inverse=True)
@@ -148,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in blocks(arrow_rows(batches), 0):
-            x = np.packbits(found.find([cut(r[0]) for r in held]).astype(bool), axis=1)
+            x = np.packbits(found.find([r[0] for r in held]).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x]), pa.array([list(r[1:]) for r in held], pa.list_(pa.int32()))], names=["x", "y"])
 
     # At most `sample` rows of 1 bit a feature reach the driver.
