@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from emberkey.llm import ann, bpe, merkle, minhash, mixing, quality, queries, suffix, toxicity, urlfilter, warc
+from emberkey.llm.common import labelled_sample, mix64, prefix_hash, span_hash
 
 SMALL = "/root/testdata/sf0.001"
 ODD_ROWS = 16
@@ -23,7 +24,8 @@ def by_id(df):
 
 def test_sql_agrees(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SMALL}/pages.parquet'")
+    for table in ("documents", "embeddings", "pages", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     for name, sql in queries.SQL.items():
         answer = con.execute(sql)
         names = [c[0] for c in answer.description]
@@ -119,6 +121,46 @@ def test_nearest_ties_and_odd_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_nearest_among_vectors_of_one_length(spark):
+    rows = [(0, [1.0, 2.0, 3.0])] + [(i, [float(i % 7), 1.0]) for i in range(1, 100)] + [(200, [1.0, 1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=99).collect()
+    assert Counter(r["query_id"] for r in got) == {0: 1, 200: 1, 20: 98, 40: 98, 60: 98, 80: 98}
+    assert all(r["score"] == sum(x * y for x, y in zip(dict(rows)[r["query_id"]], dict(rows)[r["vec_id"]], strict=True)) for r in got)
+
+
+def test_search_widens_while_all_lists_fit():
+    rng = np.random.default_rng(2)
+    centroids, x = rng.standard_normal((300, 8)), rng.standard_normal((40, 8))
+    graph = ann.CentroidGraph(centroids)
+    d = np.sqrt(((x[:, None] - centroids) ** 2).sum(2))
+    for ratio in (1.0, 1.4, 100.0):
+        row, lists = ann.near_lists(graph, x, ratio, 8)
+        want = set(zip(*np.nonzero(d <= d.min(1, keepdims=True) * ratio + 1e-12), strict=True))
+        got = set(zip(row, lists, strict=True))
+        assert len(got) == len(row) and len(got - want) <= 4 and len(got & want) >= 0.97 * len(want)
+    assert len(ann.near_lists(graph, x, 100.0, 8)[0]) == 40 * 300
+    assert len(ann.near_lists(graph, x, 100.0, 16, 4)[0]) == 40 * 4
+
+
+def test_templates_see_the_whole_path(spark):
+    """Branches that differ in their last segment only are told apart, however deep it is."""
+    rules = (("block", "h.x", "/a/b/c/bad/"), ("allow", "h.x", "/a/b/c/good/"))
+    deep = "/".join("abcdefghijkl")
+    ends = [f"/a/b/c/{kind}/{k % 2}" for kind in ("bad", "good") for k in range(20)] + [f"/{deep}/{kind}" for kind in ("one", "two")] * 10
+    rows = spark.createDataFrame([(k, f"http://h.x{e}", "x", "y") for k, e in enumerate(ends)], "page_id int, url string, s0 string, rule string")
+    got = urlfilter.judge_pages(rows.unionByName(rows), (*rules, ("block", "h.x", f"/{deep}/one"), ("allow", "h.x", f"/{deep}/two"))).collect()
+    assert len(got) == 2 * len(ends)
+    seen = {r["path"]: r["purity"] for r in got}
+    assert min(v for p, v in seen.items() if "bad" in p) > 0.75 and max(v for p, v in seen.items() if "good" in p) < 0.25
+    assert len({r["template"] for r in got if r["path"].startswith(f"/{deep}")}) == 2
+
+
+def test_urls_without_rules(spark):
+    rows = spark.createDataFrame([(1, "http://h.y/" + "s/" * 3000), (1, "http://h.y/"), (None, None)], "page_id bigint, url string")
+    got = urlfilter.judge_pages(rows, (("allow", "nowhere", "/"),)).collect()
+    assert len(got) == 3 and {r["verdict"] for r in got} == {"block"} and {r["purity"] for r in got} == {0.5}
+
+
 def test_urls(spark):
     urls = [None, "nothing", "http://A.ORG?x=/es/", "http://sub.Example.org/es/1", "https://example.org/en/17", "http://x.com/de/1", "ftp://com/fr/", "http://notorg/es/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
@@ -162,6 +204,94 @@ def test_classifiers_on_odd_rows(spark, odd, none):
     assert quality.score_documents(none, labels).count() == toxicity.score_documents(none, labels).count() == 0
 
 
+def plain_passages(text):
+    """The features of each passage of one text, in plain Python."""
+    raw = text.encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b] for a, b in spans]
+    out, triples = [], set()
+    for at in range(0, max(1, len(words)), 64):
+        some = words[at : at + 64]
+        begin = spans[at][0] if at else 0
+        part = (raw + b"\n")[begin : spans[at + 64][0] if at + 64 < len(words) else None]
+        mix = Counter(min(b, 128) for b in part)
+        x = [(mix[b] / len(part)) ** 0.5 for b in range(129)] + [0.0] * 5 + [np.log1p(len(words)) / 10]
+        if some:
+            new = 0
+            for k in range(at, at + len(some)):
+                new += (triple := (*words[max(0, k - 2) : k + 1], min(k, 2))) not in triples
+                triples.add(triple)
+            again = sum(k > 0 and words[k] == words[k - 1] for k in range(at, at + len(some)))
+            x[129:134] = [len(set(some)) / len(some), again / len(some), new / len(some), np.log1p(sum(map(len, some)) / len(some)), len(some) / 64]
+        out.append(x)
+    return out
+
+
+ODD_TEXTS = ["", "one", " \n", "a b a b", "a b", "a b a b a", "é " * 500, "w\tw\x0bw " * 90]
+
+
+def test_passages_are_encoded_alone(documents):
+    texts = ODD_TEXTS + [r[1] or "" for r in documents[:60]]
+    x, counts = quality.encode([t.encode() for t in texts])
+    assert np.allclose(x, [p for t in texts for p in plain_passages(t)], atol=1e-5)
+    for t in ODD_TEXTS:  # and one by one
+        assert np.allclose(quality.encode([t.encode()])[0], plain_passages(t), atol=1e-5)
+
+
+def test_attention_by_hand(spark, documents):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs, labels)
+    w, got = {k: v.astype(float) for k, v in model.w.items()}, by_id(quality.score_documents(docs.repartition(7), labels))
+    for i, text in ((r[0], r[1]) for r in documents[:80]):
+        top, below = np.zeros(len(w["c"])), 0.0
+        for p in plain_passages(text or ""):
+            x = (np.array(p) - model.mean) / model.scale
+            e = np.exp(sum(a * np.tanh(v) / (1 + np.exp(-u)) for a, v, u in zip(w["a"], x @ w["V"], x @ w["U"], strict=True)))
+            top, below = top + e * np.tanh(x @ w["W"] + w["b"]), below + e
+        score = 1 / (1 + np.exp(-(top / below @ w["c"] + w["d"])))
+        assert got[i]["score"] == pytest.approx(score, abs=1e-3) and got[i]["predicted"] == (got[i]["score"] >= 0.5)
+
+
+def test_sample_does_not_depend_on_partitions(spark, documents):
+    rows = [(k % 40, f"text {k} of id {k % 40}") for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id int, quality int")
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    some = [sorted(labelled_sample(d, labels, ["quality"], 20).collect()) for d in (docs, docs.repartition(5), docs.orderBy(F.desc("text")))]
+    assert some[0] == some[1] == some[2] and len(some[0]) == 20
+
+
+def test_long_texts_are_learnt_whole_or_not(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(quality.AttentionModel, "fit", lambda x, counts, y: learnt.append((len(x), sorted(counts.tolist()))))
+    docs = spark.createDataFrame([(k, "word " * 64 * (k + 1)) for k in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id bigint, quality int")
+    quality.train(docs, labels)
+    quality.train(docs, labels, passages=30)
+    whole, part = learnt
+    assert whole[0] == sum(whole[1]) and part[1] == whole[1][: len(part[1])]
+    assert part[0] == sum(part[1]) <= 30 < part[0] + whole[1][len(part[1])]
+
+
+def plain_features(text):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.lower().encode())
+    of = lambda b: int(span_hash(prefix_hash(np.frombuffer(b, np.uint8)), np.array([0]), np.array([len(b)]))[0])
+    begin = lambda b, k: int(mix64(np.array([of(b[:k]) + k], dtype=object).astype(np.uint64))[0]) if of(b[:k]) + k < 1 << 64 else None
+    return {of(b) for b in words} | {begin(b, k) for b in words for k in (4, 5) if len(b) > k}
+
+
+def test_chain_by_hand(spark, documents):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    chain = toxicity.train(docs, labels, ["quality", "toxic"])
+    got = by_id(toxicity.score_documents(docs.repartition(5), labels, ("quality", "toxic")))
+    for i, text in ((r[0], r[1]) for r in documents[:80]):
+        there, earlier = plain_features(text or ""), []
+        for cols, w in zip(chain.cols, chain.weights, strict=True):
+            x = [float(int(chain.found.keys[c]) in there) for c in cols] + earlier + [1.0]
+            earlier.append(1 / (1 + np.exp(-sum(a * b for a, b in zip(x, w.tolist(), strict=True)))))
+        assert (got[i]["p_quality"], got[i]["p_toxic"]) == pytest.approx(tuple(earlier), abs=1e-4) and got[i]["score"] == got[i]["p_toxic"]
+
+
 def test_budget_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(30):
