@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberkey.functions import keys as K
 from emberkey.functions import markers as M
 from emberkey.operators import counters, dedup, enrich, lake, lake_catalog, lake_log, process, progress, state_table
+from emberkey.operators.carry import null_safe_join
 from emberkey.operators.pruning import col
 from emberkey.plans import oracle_sql as O
 from emberkey.plans import tables as T
@@ -227,6 +228,24 @@ def st14(spark, sf):
     return dedup.emitted_keys(st2(spark, sf), "user_id")
 
 
+@query(
+    "st14_keys_over_days",
+    f"""WITH e AS (SELECT event_type, user_id FROM {O.E} AS src)
+SELECT event_type, count(DISTINCT user_id) AS exact, true AS within_error FROM e GROUP BY event_type""",
+)
+def st14_days(spark, sf):
+    """Keys of each type over all days, from one sketch a day, held against the exact count."""
+    rows = events(spark, sf).withColumn("day", F.floor(F.col("timestamp") / DAY))
+    daily = dedup.key_sketches(rows, "user_id", ["event_type", "day"])
+    merged = dedup.merged_keys(daily, "event_type")
+    exact = rows.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    off = F.abs(F.col("session_seen") - F.col("exact"))
+    within = off <= F.col("exact") * dedup.sketch_error() + 1
+    return null_safe_join(exact, merged, ["event_type"], "inner").select(
+        "event_type", "exact", within.alias("within_error")
+    )
+
+
 @query("udf1_keyed_process", SQL_ST2, headline=True)
 def udf1(spark, sf):
     rows = events(spark, sf).select(*EVENT)

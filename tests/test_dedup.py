@@ -174,6 +174,41 @@ def test_emitted_keys(spark):
     assert sketch.first()["session_seen"] == 4
 
 
+def test_keys_over_runs(spark, tmp_path):
+    """Runs overlap, one is repeated and one is empty: a key counts once, and the estimate is within its error."""
+    table = str(tmp_path / "keys")
+    runs = {run: spark.range(lo, hi).selectExpr("cast(id as string) k") for run, (lo, hi) in enumerate([(0, 30_000), (20_000, 50_000), (0, 0)])}
+    for run in (0, 1, 1, 2):
+        dedup.record_keys(runs[run], "k", table, run)
+    stored = spark.read.parquet(table)
+    assert stored.count() == 3
+    assert abs(dedup.merged_keys(stored).first()["session_seen"] - 50_000) <= 50_000 * dedup.sketch_error()
+    each = {r["run"]: r["session_seen"] for r in dedup.merged_keys(stored, "run").collect()}
+    assert each[2] == 0 and all(abs(each[r] - 30_000) <= 30_000 * dedup.sketch_error() for r in (0, 1))
+    pairs = spark.createDataFrame([(None, "a"), ("a", None), ("a", "a"), ("a", None)], "k string, l string")
+    assert dedup.merged_keys(dedup.key_sketches(pairs, ["k", "l"])).first()["session_seen"] == 3
+    few = spark.createDataFrame([(None,), (None,), ("a",)], "k string")
+    assert dedup.merged_keys(dedup.key_sketches(few, "k")).first()["session_seen"] == 2
+    assert dedup.merged_keys(dedup.key_sketches(few.limit(0), "k")).first()["session_seen"] == 0
+
+
+def test_keys_over_micro_batches(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "keys")
+    for part in range(3):
+        spark.range(part * 400, part * 400 + 1000).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+    query = (
+        stream.writeStream.foreachBatch(lambda rows, batch: dedup.record_keys(rows, "id", table, batch))
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    assert query.awaitTermination(120)
+    stored = spark.read.parquet(table)
+    assert stored.count() > 1
+    assert abs(dedup.merged_keys(stored).first()["session_seen"] - 1800) <= 1800 * dedup.sketch_error()
+
+
 def test_jobs_of_a_chain_do_not_grow_with_its_chunks(spark):
     def jobs(n):
         group = f"chain-{n}"
