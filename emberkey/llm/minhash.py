@@ -30,6 +30,7 @@ CHUNK = 64  # pairs of one text that a task verifies in a row
 SKETCH = 384  # places of the longer signatures that tell which pairs of a mixed bucket to verify
 ENOUGH = 271  # equal places wanted: at a likeness of 0.8 fewer come with a probability of about 3e-6
 BLOCK = 2048  # a larger bucket is compared block by block
+BLOCK_BYTES = 32 << 20  # of bags; so is a bucket that has more
 
 
 def bags(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,33 +135,62 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lowest 8 bits of longer signatures: places that differ look equal once in 256 times, those that are equal always do."""
+    """The lowest 8 bits of longer signatures, and the bag itself, 12 bytes a shingle.
+
+    Places that differ look equal once in 256 times, those that are equal always do.
+    """
     for rows in blocks(((i, k, utf8(t)) for i, k, t in arrow_rows(batches)), 2):
-        low = signatures(*bags([t for _, _, t in rows]), len(rows), SKETCH).view(np.uint64).astype(np.uint8)
+        doc, shingle, times = bags([t for _, _, t in rows])
+        low = signatures(doc, shingle, times, len(rows), SKETCH).view(np.uint64).astype(np.uint8)
+        cut = np.searchsorted(doc, np.arange(len(rows) + 1)).tolist()
+        held = [shingle[lo:hi].tobytes() + times[lo:hi].astype(np.uint32).tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
         ids, keys = (pa.array([r[k] for r in rows], pa.int64()) for k in range(2))
-        yield pa.RecordBatch.from_arrays([ids, keys, pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "tkey", "sketch"])
+        yield pa.RecordBatch.from_arrays(
+            [ids, keys, pa.array([r.tobytes() for r in low], pa.binary()), pa.array(held, pa.binary())], names=["doc_id", "tkey", "sketch", "bag"]
+        )
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket (or of two of its blocks) with enough equal places, of different components; sorted input."""
+def _unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.uint32, n, 8 * n).astype(np.int64)
+
+
+def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components within one bucket (or two of its blocks), verified on the bags; sorted input.
+
+    Every pair of different components with enough equal places is looked at, in the first bucket that it shares, unless links
+    found here have joined its components. So at most as many links come out as there are components, less one.
+    """
 
     def settle(key: tuple, held: list[tuple]) -> pa.RecordBatch:
-        _, x, y = key
-        mine, node, root, out = (np.array([r[k] for r in held]) for k in range(3, 7))
-        sketch = np.frombuffer(b"".join(r[7] for r in held), dtype=np.uint8).reshape(len(held), SKETCH)
+        bucket, x, y = key
+        mine, node, root, out, bands = (np.array([r[k] for r in held]) for k in range(3, 8))
+        sketch = np.frombuffer(b"".join(r[8] for r in held), dtype=np.uint8).reshape(len(held), SKETCH)
+        bag = [_unpacked(r[9]) for r in held]
+        weight = np.array([times.sum() for _, times in bag])
+        group = np.unique(root, return_inverse=True)[1]
         a, b = [], []
         asks = np.flatnonzero(out)
         for at in range(0, len(asks), 16):
             ask = asks[at : at + 16]
             equal = (sketch[ask][:, None, :] == sketch[None, :, :]).sum(2, dtype=np.int32)
-            fit = (equal >= ENOUGH) & (root[ask][:, None] != root[None, :])
+            fit = (equal >= ENOUGH) & (group[ask][:, None] != group[None, :])
+            # Two that both ask meet once, and weights that differ more than that leave no such likeness.
+            fit &= ~out[None, :] | (ask[:, None] < np.arange(len(held))[None, :])
+            fit &= np.minimum(weight[ask][:, None], weight[None, :]) >= LEAST * np.maximum(weight[ask][:, None], weight[None, :]) - 1e-6
             if x != y:
                 fit &= mine[ask][:, None] != mine[None, :]
             i, j = np.nonzero(fit)
-            a.append(np.maximum(node[ask[i]], node[j]))
-            b.append(np.minimum(node[ask[i]], node[j]))
-        pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
+            likeliest = np.argsort(-equal[i, j], kind="stable")
+            i, j = ask[i[likeliest]], j[likeliest]
+            shared = bands[i] == bands[j]
+            here = bands[i, shared.argmax(1)] == bucket
+            for p, q in zip(i[here].tolist(), j[here].tolist(), strict=True):
+                if group[p] != group[q] and likeness(bag[p], bag[q]) >= LEAST:
+                    group[group == group[q]] = group[p]
+                    a.append(max(node[p], node[q]))
+                    b.append(min(node[p], node[q]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     key, held = None, []
     for row in arrow_rows(batches):
@@ -183,10 +213,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A bucket of one band is never paired with itself: first all its texts meet its least and its
     greatest one; components are formed. In buckets that still hold several components, the texts outside
-    the bucket's largest component are compared with all others by longer signatures, inside tasks and without making rows
-    of pairs; only pairs of different components with enough equal places are verified. So a link that joins two
-    components is missed with a probability of about 3e-6, and pairs within a found component aren't made.
-    links counts the links that were verified.
+    the bucket's largest component are compared with all others by longer signatures, and pairs of different components
+    with enough equal places are verified on their bags, all inside tasks and without making rows of pairs: only links that
+    join components come out. So such a link is missed with a probability of about 3e-6, and pairs within a found
+    component aren't made. links counts the links that came out: those to a bucket's least and greatest, and those that join components.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tkey"), F.col("text").cast("string").alias("text"))
     signed = materialize(base.mapInArrow(lean(_sign), "doc_id long, tkey long, digest binary, bands array<long>"), "signed")
@@ -239,19 +269,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     main = main.select("bucket", F.col("m.root").alias("main"))
     mixed = materialize(placed.join(main, "bucket"), "mixed")
     wanted, texts = found(mixed)
-    sketches = texts.mapInArrow(lean(_sketch), "doc_id long, tkey long, sketch binary").alias("d").join(wanted.alias("w"), same).select("node", "sketch")
-    mixed = mixed.join(sizes.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket")
-    many = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), many).cast("int")
-    mixed = mixed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    sketches = texts.mapInArrow(lean(_sketch), "doc_id long, tkey long, sketch binary, bag binary").alias("d")
+    # Rows that repeat both id and text are one.
+    sketches = sketches.join(wanted.alias("w"), same).dropDuplicates(["node"]).join(nodes.select("node", "bands"), "node")
+    sketches = materialize(sketches.select("node", "bands", "sketch", "bag"), "sketches")
+    weighed = mixed.join(sketches.select("node", F.octet_length("bag").alias("bytes")), "node")
+    weighed = weighed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    many = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = mixed.join(weighed.select("bucket", many.alias("many")), "bucket")
+    mine = F.pmod(F.xxhash64("node"), "many").cast("int")
+    mixed = mixed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     mixed = mixed.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "main")
-    mixed = mixed.join(materialize(sketches, "sketches"), "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    mixed = mixed.select("bucket", "x", "y", "mine", "node", "root", (F.col("root") != F.col("main")).alias("out"), "sketch")
-    more = materialize(mixed.mapInArrow(lean(_likely), "a long, b long").distinct(), "likely")
-    either = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = materialize(more.join(either, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = verified(more)
+    mixed = mixed.join(sketches, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    mixed = mixed.select("bucket", "x", "y", "mine", "node", "root", (F.col("root") != F.col("main")).alias("out"), "bands", "sketch", "bag")
+    extra = materialize(mixed.mapInArrow(lean(_joins), "a long, b long"), "joins")
+    if not extra.isEmpty():
+        # A pair meets in one bucket only, so none comes twice; none of them was a link before, or it would be in one component.
         links = materialize(links.unionByName(extra), "links")
         roots = connected(links)
 

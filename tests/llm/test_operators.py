@@ -424,6 +424,30 @@ def test_copies_of_copies(spark, monkeypatch, block):
     assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
 
 
+def test_only_links_that_join_leave_a_crowded_bucket(spark, monkeypatch):
+    """Many copies that are just about alike: no step makes rows for all their pairs, and the classes are those of brute force."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in rng.integers(0, 900, 300)], []
+    for n in range(150):
+        words = list(base)
+        for k in rng.choice(300, 4 + n % 2, replace=False):
+            words[k] = f"e{n}x{k}"
+        rows.append((n, " ".join(words)))
+    made, keep = [], minhash.materialize
+
+    def seen(df, label="stage"):
+        out = keep(df, label)
+        if out.columns == ["a", "b"]:
+            made.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", seen)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == brute_classes(rows)
+    # Each text meets the ends of its 32 buckets; all that follows are links.
+    assert all(n < 2 * len(rows) for label, n in made if label != "pairs"), made
+
+
 def test_signatures_estimate_weighted_likeness():
     a = " ".join(f"x{i}" for i in range(200)) + " rep rep rep rep rep rep rep rep"
     b = " ".join(f"x{i}" for i in range(20, 200)) + " rep" * 30
