@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberkey.operators import lake
+from emberkey.plans import queries
 from emberkey.streaming import runner
 
 LAYOUT = lake.Layout.parse("year,month,day,hour,status,~order_id")
+SMALL = "/root/testdata/sf0.001"
 START = 1_725_372_000_000  # 2024-09-03 14:00 UTC
 
 
@@ -309,3 +311,13 @@ def test_commit_without_manifest_is_read(spark, rows, tmp_path):
     lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="seq")
     lake.write_lake(rows, table, LAYOUT, "timestamp", sort_col="seq", auto_discover=False)
     assert lake.read_range(spark, table, "seq", 10, 19).count() == 2 * rows.filter("seq between 10 and 19").count()
+
+
+def test_layouts_are_refused_on_one_table(spark, monkeypatch):
+    """Only the table itself and the layout that is taken are written, however many are refused."""
+    written, write = [], lake._write_commit
+    monkeypatch.setattr(lake, "_write_commit", lambda *a, **k: (written.append(a[1]), write(*a, **k)))
+    got = {r["layout"]: (r["accepted"], r["rows"]) for r in queries.QUERIES["lake4_validate_layout"](spark, SMALL).collect()}
+    n = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    assert len(got) == 5 and len(written) == 2 and len(set(written)) == 1
+    assert [v for v in got.values() if v[0]] == [(True, 2 * n)] and [v for v in got.values() if not v[0]] == [(False, n)] * 4
