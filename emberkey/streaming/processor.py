@@ -6,8 +6,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,11 +23,9 @@ STATE_SCHEMA = "entries string, clock_ms bigint"
 SEED = ["__entry", "__value", "__deadline"]
 
 
-def _plain(value: Any, whole: bool) -> Any:
-    """Nulls as None, and whole numbers as such; they come as text, because nulls beside them would make them floats."""
-    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
-        return None
-    return int(value) if whole and not isinstance(value, bool) else value
+def _plain(value: Any) -> Any:
+    """A float that is no number counts as null."""
+    return None if isinstance(value, float) and value != value else value
 
 
 class CallbackProcessor(StatefulProcessor):
@@ -37,19 +34,18 @@ class CallbackProcessor(StatefulProcessor):
         evict: bool,
     ):
         self.fn, self.columns, self.ts = fn, schema.fieldNames(), ts
-        self.whole = {f.name for f in schema.fields if isinstance(f.dataType, T.IntegralType)}
         self.order, self.names, self.evict = order, names, evict
+        self.made = Row(*names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.store = handle.getValueState("state", STATE_SCHEMA)
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        """One row per entry. The event-time clock starts with the key's first new record."""
-        state = State()
-        for name, value, deadline in zip(*(initialState[c] for c in SEED), strict=True):
-            known = _plain(deadline, False)
-            state.entries[name] = [json.loads(value)["v"], None if known is None else int(known)]
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        """Called once for each entry. The event-time clock starts with the key's first new record."""
+        state = State(*(self.store.get() or (None, None)))
+        name, value, deadline = (initialState[c] for c in SEED)
+        state.entries[name] = [json.loads(value)["v"], None if deadline is None else int(deadline)]
         self.store.update((state.dumps(), None))
         self._watch(state)
 
@@ -61,15 +57,9 @@ class CallbackProcessor(StatefulProcessor):
         if (deadline := state.last_deadline()) is not None:
             self.handle.registerTimer(deadline)
 
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         # One key's rows of one micro-batch; their order after the shuffle is not promised.
-        batch: list[dict] = []
-        for pdf in rows:
-            # By position: Spark hands over names that are no identifiers, as `__key`, as `_1`.
-            for row in pdf.itertuples(index=False, name=None):
-                batch.append({c: _plain(v, c in self.whole) for c, v in zip(self.columns, row)})
+        batch = [{c: _plain(v) for c, v in zip(self.columns, row)} for row in rows]
         batch.sort(key=lambda row: [(row[c] is not None, row[c]) for c in self.order])  # nulls first
         state = State(*(self.store.get() or (None, None)))
         out: list[dict] = []
@@ -78,19 +68,11 @@ class CallbackProcessor(StatefulProcessor):
             out.extend(self.fn(row, tuple(key), when, state.at(when)) or ())
         self.store.update((state.dumps(), state.clock))
         self._watch(state)
-        if out:
-            yield self._frame(out)
-
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {n: pd.Series([r.get(n) for r in rows], dtype=object) for n in self.names}
-        )
+        return (self.made(*(r.get(n) for n in self.names)) for r in out)
 
-    def handleExpiredTimer(
-        self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.store.clear()  # the timer stands at the last deadline, so nothing live is lost
-        yield self._frame([])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -129,10 +111,8 @@ def keyed_process_stream(
             "__event_time", f"{millis(late_tolerance)} milliseconds"
         )
     processor = CallbackProcessor(fn, given, ts, order, schema.fieldNames(), evict)
-    # Whole numbers travel as text: in pandas, a null beside them would turn them into floats.
-    whole = [f.name for f in given.fields if isinstance(f.dataType, T.IntegralType) and f.name not in keys]
-    df = df.withColumns({c: F.col(f"`{c}`").cast("string") for c in whole})
-    return df.groupBy(*keys).transformWithStateInPandas(
+    # Row by row: a pandas frame for each key costs far more than its few rows.
+    return df.groupBy(*keys).transformWithState(
         processor,
         schema,
         "append",

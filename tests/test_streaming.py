@@ -6,7 +6,9 @@ import time
 
 import brute
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberkey.operators import counters, dedup
 from emberkey.sources import topics
@@ -231,3 +233,28 @@ def test_seeded_stream_keeps_its_state_over_restarts(spark, tmp_path):
         )
         got = runner.run_available(stream, out, checkpoint)
     assert sorted(r["id"] for r in got.collect()) == [4, 5, 6, 7]
+
+
+def test_processor_works_on_plain_rows():
+    """No frame for each key: rows come and go as rows, and a key's entries come one by one."""
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    schema = T._parse_datatype_string("k string, v bigint, at bigint")
+    made = processor.CallbackProcessor(callbacks.on_change("v"), schema, "at", ["at"], schema.fieldNames(), False)
+    made.store = Held()
+    seed = Row(*processor.SEED)
+    made.handleInitialState(("a",), seed("entry", '{"v": 1}', None), None)
+    made.handleInitialState(("a",), seed("other", '{"v": 2}', "90"), None)
+    rows = Row("k", "v", "at")
+    out = made.handleInputRows(("a",), iter([rows("a", 3, 8), rows("a", None, 7), rows("a", 1, 6)]), None)
+    assert [tuple(r) for r in out] == [("a", None, 7), ("a", 3, 8)]
+    state, clock = made.store.value
+    assert clock == 8 and '"other"' in state
